@@ -22,6 +22,15 @@ EVENT_STATUS = (("click", "completed"), ("error", "failed"), ("purchase", "proce
                 ("signup", "pending"), ("view", "inaccessible"))
 
 
+def cell(lang: str, number: int) -> int:
+    """Collection id of a language and source number."""
+    return 1 + number * 1000 + (ord(lang[0]) - 97) * 26 + ord(lang[1]) - 97
+
+
+def _letters() -> F.Column:
+    return (F.ascii(F.substring("lang", 1, 1)) - 97) * 26 + F.ascii(F.substring("lang", 2, 1)) - 97
+
+
 def _seconds(column) -> F.Column:
     return F.timestamp_seconds(column)
 
@@ -108,7 +117,7 @@ class Library:
         number = F.regexp_extract("source", "([0-9]+)$", 1).cast("bigint")
         base = self.table("documents").select("lang", "source").distinct()
         cell = base.select(
-            (F.lit(1) + number * 100 + F.ascii(F.substring("lang", 1, 1)) - 97).alias("collection_id"),
+            (F.lit(1) + number * 1000 + _letters()).alias("collection_id"),
             F.when(F.col("source") == "src0", "userContext").otherwise("aiContext").alias("kind"),
             F.concat_ws(" ", "lang", "source").alias("title"),
             (F.col("source") == "src19").alias("is_archived"),
@@ -117,7 +126,7 @@ class Library:
             _seconds(F.lit(PROSE_EPOCH) + number * 86400).alias("created_at"))
         words = F.slice(F.split(F.trim("text"), r"\s+"), 1, 4)
         passage = self.table("benchmark").select(
-            (F.lit(1_000_000) + F.col("item_id")).alias("collection_id"), F.lit("aiContext").alias("kind"),
+            (F.lit(1_000_000_000) + F.col("item_id")).alias("collection_id"), F.lit("aiContext").alias("kind"),
             F.array_join(words, " ").alias("title"), F.lit(False).alias("is_archived"),
             F.lit(False).alias("is_pinned"), F.lit("ai").alias("created_by"),
             _seconds(F.lit(PROSE_EPOCH) + F.col("item_id") * 3600).alias("created_at"))
@@ -127,18 +136,36 @@ class Library:
             _seconds(F.lit(PROSE_EPOCH)).alias("created_at"))
         return inbox.unionByName(cell).unionByName(passage)
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Collections with a list position, as stored tables carry one."""
+        return self.collections.withColumn("sort_order", F.col("collection_id") % 7)
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        """One alias per collection: its title words turned round."""
+        turned = F.array_join(F.reverse(F.split("title", " ")), " ")
+        return self.collections.filter("kind <> 'unassigned'").select(
+            "collection_id", turned.alias("alias_title"), F.lower(turned).alias("normalized_alias"), "created_at")
+
+    @cached_property
+    def dup_members(self) -> DataFrame:
+        """Stored duplicate groups: items with the same text, in id order within a group."""
+        docs = self.table("documents")
+        return docs.select(F.md5("text").alias("group_id"), F.col("doc_id").alias("item_id"), F.col("doc_id").alias("position"))
+
     @cached_property
     def memberships(self) -> DataFrame:
         """Documents without a good label wait in review; the rest belong to their cell; mid-length ones to two."""
         docs = self.table("documents").join(
             self.table("labels").withColumnRenamed("doc_id", "label_doc"), F.col("doc_id") == F.col("label_doc"), "left")
         number = F.regexp_extract("source", "([0-9]+)$", 1).cast("bigint")
-        cell = F.lit(1) + number * 100 + F.ascii(F.substring("lang", 1, 1)) - 97
+        place = F.lit(1) + number * 1000 + _letters()
         good = F.coalesce(F.col("quality"), F.lit(1)) == 1
         no_score = F.lit(None).cast("double")
         when = _seconds(F.lit(PROSE_EPOCH) + F.col("n_chars"))
         main = docs.filter(good).select(
-            F.col("doc_id").alias("item_id"), cell.alias("collection_id"),
+            F.col("doc_id").alias("item_id"), place.alias("collection_id"),
             F.when(F.col("toxic") == 1, "user").otherwise("ai").alias("source"),
             F.round(F.lit(0.7) + F.least(F.col("n_chars"), F.lit(20000)) / F.lit(100000.0), 6).alias("confidence"),
             when.alias("created_at"), F.col("doc_id").alias("position"))
@@ -146,7 +173,7 @@ class Library:
             F.col("doc_id").alias("item_id"), F.lit(0).cast("bigint").alias("collection_id"), F.lit("user").alias("source"),
             no_score.alias("confidence"), when.alias("created_at"), F.col("doc_id").alias("position"))
         extra = docs.filter(good & F.col("n_chars").between(2000, 2400) & (F.col("source") != "src2")).select(
-            F.col("doc_id").alias("item_id"), (F.lit(201) + F.ascii(F.substring("lang", 1, 1)) - 97).cast("bigint").alias("collection_id"),
+            F.col("doc_id").alias("item_id"), (F.lit(2001) + _letters()).cast("bigint").alias("collection_id"),
             F.lit("user").alias("source"), no_score.alias("confidence"), when.alias("created_at"),
             F.col("doc_id").alias("position"))
         return main.unionByName(review).unionByName(extra)
@@ -203,7 +230,8 @@ class Library:
             F.concat(F.lit("fp-"), F.col("event_id").cast("string")).alias("fingerprint"))
 
 
-_CELL = "1 + cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) * 100 + ascii(lang) - 97"
+_LETTERS = "(ascii(lang) - 97) * 26 + ascii(lang[2:2]) - 97"
+_CELL = f"1 + cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) * 1000 + {_LETTERS}"
 _STATUS = "case event_type " + " ".join(f"when '{k}' then '{s}'" for k, s in EVENT_STATUS) + " end"
 _VISUAL = ("case when value < 8 then 'pending' when value < 16 then 'processing' when value < 45 then 'completed' "
            "when value < 70 then 'failed' else 'inaccessible' end")
@@ -250,8 +278,14 @@ select {_CELL}, case when source = 'src0' then 'userContext' else 'aiContext' en
   make_timestamp(({PROSE_EPOCH} + cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) * 86400) * 1000000)
 from (select distinct lang, source from documents) d
 union all
-select 1000000 + item_id, 'aiContext', array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:4], ' '), false, false,
+select 1000000000 + item_id, 'aiContext', array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:4], ' '), false, false,
   'ai', make_timestamp(({PROSE_EPOCH} + item_id * 3600) * 1000000) from benchmark""",
+    "v_cell": "select *, collection_id % 7 as sort_order from v_collection",
+    "v_alias": """
+select collection_id, array_to_string(list_reverse(string_split(title, ' ')), ' ') as alias_title,
+  lower(array_to_string(list_reverse(string_split(title, ' ')), ' ')) as normalized_alias, created_at
+from v_collection where kind <> 'unassigned'""",
+    "v_dup": "select md5(text) as group_id, doc_id as item_id, doc_id as position from documents",
     "v_membership": f"""
 select d.doc_id as item_id, {_CELL} as collection_id, case when toxic = 1 then 'user' else 'ai' end as source,
   round(0.7::double + least(n_chars, 20000) / 100000.0::double, 6) as confidence,
@@ -261,7 +295,7 @@ union all
 select d.doc_id, 0, 'user', null, make_timestamp(({PROSE_EPOCH} + n_chars) * 1000000), d.doc_id
 from documents d join labels l on d.doc_id = l.doc_id where quality <> 1
 union all
-select d.doc_id, 201 + ascii(lang) - 97, 'user', null, make_timestamp(({PROSE_EPOCH} + n_chars) * 1000000), d.doc_id
+select d.doc_id, 2001 + {_LETTERS}, 'user', null, make_timestamp(({PROSE_EPOCH} + n_chars) * 1000000), d.doc_id
 from documents d left join labels l on d.doc_id = l.doc_id
 where coalesce(quality, 1) = 1 and n_chars between 2000 and 2400 and source <> 'src2'""",
     "v_run": """
@@ -306,4 +340,6 @@ def views_sql(query: str, extra: dict[str, str] | None = None) -> str:
     add(query)
     if not done:
         return query
+    if query.lstrip().lower().startswith("with "):
+        query = f"select * from ({query})"
     return "with " + ",\n".join(f"{name} as ({body})" for name, body in done.items()) + "\n" + query
