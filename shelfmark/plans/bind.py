@@ -198,6 +198,20 @@ class Library:
             F.when(q & ~t, "correct").when(q, "wrongCollection").when(t, "shouldBeNeedsReview")
             .otherwise("wrongCollectionName").alias("label"))
 
+    @cached_property
+    def asset_list(self) -> DataFrame:
+        """Assets a device reports: most stored ones, later by an hour, and those of the orders table."""
+        stored = self.table("events").filter(F.col("event_type").isin("click", "view", "purchase")).select(
+            F.concat(F.lit("asset-"), F.col("event_id").cast("string")).alias("external_id"),
+            (F.col("ts").cast("timestamp") + F.expr("interval 1 hour")).alias("created_at"), F.lit(1170).alias("width"),
+            F.lit(2532).alias("height"), F.lit(True).alias("is_screenshot"))
+        ordered = self.table("orders").select(
+            F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("external_id"),
+            F.col("o_orderdate").cast("timestamp").alias("created_at"),
+            (F.col("o_custkey") % 3000 + 1).cast("int").alias("width"), F.lit(2532).alias("height"),
+            (F.col("o_orderpriority") == "1-URGENT").alias("is_screenshot"))
+        return stored.unionByName(ordered)
+
     @cached_property
     def stages(self) -> DataFrame:
         """One status row per event: two processing stages, the organise stage and their bookkeeping."""
@@ -230,6 +244,11 @@ class Library:
             F.concat(F.lit("fp-"), F.col("event_id").cast("string")).alias("fingerprint"))
 
 
+VIEWS_SQL_LISTING = """
+select 'asset-' || event_id as external_id, ts + interval 1 hour as created_at, 1170 as width, 2532 as height, true as is_screenshot
+from events where event_type in ('click', 'view', 'purchase')
+union all
+select 'order-' || o_orderkey, o_orderdate, o_custkey % 3000 + 1, 2532, o_orderpriority = '1-URGENT' from orders"""
 _LETTERS = "(ascii(lang) - 97) * 26 + ascii(lang[2:2]) - 97"
 _CELL = f"1 + cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) * 1000 + {_LETTERS}"
 _STATUS = "case event_type " + " ".join(f"when '{k}' then '{s}'" for k, s in EVENT_STATUS) + " end"
@@ -306,6 +325,8 @@ select event_id as run_id, user_id as item_id, ts as started_at,
     "v_eval": """
 select doc_id as item_id, case when quality = 1 and toxic <> 1 then 'correct' when quality = 1 then 'wrongCollection'
   when toxic = 1 then 'shouldBeNeedsReview' else 'wrongCollectionName' end as label from labels""",
+    "v_asset_list": VIEWS_SQL_LISTING,
+    "v_listing": "select external_id, created_at, width, height from v_asset_list where is_screenshot",
     "v_stage": f"""
 select event_id as item_id, case when user_id < 5 then null else 'asset-' || event_id end as external_id,
   case when value < 90 then 'photos' else 'fixture' end as source, ts as created_at, ts as updated_at,
