@@ -214,28 +214,27 @@ def entity_columns(text: Column, strict: bool = False) -> dict[str, Column]:
 # ---- needles, lines, redaction ---------------------------------------------------------------------
 
 
+def _needle_array(needles: Sequence[str]) -> Column:
+    """A constant array from one literal; Catalyst folds the split."""
+    return F.split(F.lit("\x1f".join(needles)), "\x1f")
+
+
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for needle in needles:
-        out = out | F.contains(text, F.lit(needle))
-    return out
+    return F.exists(_needle_array(needles), lambda n: F.contains(text, n))
 
 
 def count_contained(text: Column, needles: Sequence[str]) -> Column:
-    out = F.lit(0)
-    for needle in needles:
-        out = out + F.contains(text, F.lit(needle)).cast("int")
-    return out
+    return F.size(F.filter(_needle_array(needles), lambda n: F.contains(text, n)))
 
 
-def count_words(text: Column, wanted: Sequence[str]) -> Column:
-    """How many of ``wanted`` occur as whole words: one regex pass, then a set size."""
-    found = F.regexp_extract_all(text, F.lit(r"(?U)\b(" + "|".join(wanted) + r")\b"), F.lit(1))
-    return F.size(F.array_distinct(found))
+def word_runs(text: Column) -> Column:
+    """Maximal runs of word characters; a word matches between word boundaries exactly when it is one of them."""
+    return F.array_distinct(F.split(text, r"[^\p{IsAlphabetic}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}]+"))
 
 
-def has_word(text: Column, word: str) -> Column:
-    return text.rlike(rf"(?U)\b{word}\b")
+def count_words(text: Column, wanted: Sequence[str]) -> Column:
+    """How many of ``wanted`` occur as whole words."""
+    return F.size(F.array_intersect(word_runs(text), _needle_array(wanted)))
 
 
 def redact(text: Column, limit: int = 280) -> Column:

@@ -13,6 +13,7 @@ FACETS = ("article", "boarding_pass", "chat", "design_reference", "flight_bookin
 EVIDENCE = "array<struct<id:string,confidence:double,strength:string,sources:array<string>>>"
 WEAK_CAP = 0.67      # a single family stays this far below the strong floor
 SOFT_CAP = 0.47      # the emit floor and a little
+LONE_WORDS = ("flight", "gate", "arrival", "departure", "total", "frame")
 LINE_FACTS = ("headers", "distinct_headers", "dates", "tiny", "long", "messages", "pairs", "cards", "delivered", "senders",
               "amounts")
 
@@ -40,34 +41,42 @@ def text_cues(text: Column, labels: Column, body, cues: dict | None = None) -> C
         low, lines, tags = get("low"), get("lines"), get("labels")
         has = lambda name: tx.contains_any(low, cues[name])
         count = lambda name: tx.count_contained(low, cues[name])
-        words = lambda name: tx.count_words(low, cues[name])
+        runs = get("words")
+        words = lambda name: F.size(F.array_intersect(runs, tx.literals(cues[name])))
+        word = lambda w: F.array_contains(runs, w)
         tagged = lambda name: F.arrays_overlap(tags, tx.literals(cues[name]))
-        codes = F.array_except(
-            F.array_distinct(F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit("(?U)" + vocab.CODE_PATTERN), F.lit(0))))),
-            tx.literals(vocab.FACET_CODE_DENYLIST))
+        codes = F.array_except(tx.all_matches(get("text"), vocab.CODE_PATTERN), tx.literals(vocab.FACET_CODE_DENYLIST))
         coded = F.filter(F.regexp_extract_all(low, F.lit("(?U)" + vocab.DESIGNATOR_PATTERN), F.lit(0)),
                          lambda t: ~F.left(t, F.lit(2)).isin(*vocab.FACET_DESIGNATOR_BLOCK))
         named = F.regexp_extract_all(low, F.lit("(?U)" + vocab.FLIGHT_WORD_PATTERN), F.lit(0))
         return let_all({
-            "codes": F.size(codes), "route": has("route_marks"), "flights": F.size(named) + F.size(coded),
+            "codes": F.size(codes), "route": has("route_marks"),
+            "flights": F.when(low.rlike("[0-9]"), F.size(named) + F.size(coded)).otherwise(0),
             "hard_phrases": count("flight_phrases"), "hard_words": words("flight_words"),
-            "flight_word": tx.has_word(low, "flight"), "gate": tx.has_word(low, "gate"),
+            "flight_word": word("flight"), "gate": word("gate"),
             "boarding": has("boarding_marks"), "booking": has("booking_marks"),
             "lodging": words("lodging_words"), "in": has("check_in"), "out": has("check_out"),
-            "arrive": tx.has_word(low, "arrival") | has("arrives"), "depart": tx.has_word(low, "departure") | has("departs"),
+            "arrive": word("arrival") | has("arrives"), "depart": word("departure") | has("departs"),
             "confirm": count("stay_confirmations"), "brands": count("stay_brands"), "chat_apps": count("chat_apps"),
-            "finance": count("finance"), "currency": count("currency"), "total": tx.has_word(low, "total"),
+            "finance": count("finance"), "currency": count("currency"), "total": word("total"),
             "nav": count("navigation"), "distance": has("distance"), "commerce": count("commerce"),
             "ikea": F.contains(low, F.lit("ikea")), "shop": has("shop_marks"), "design": count("design"),
-            "frame": tx.has_word(low, "frame"), "dining": count("dining"), "soft_booking": has("booking_soft"),
+            "frame": word("frame"), "dining": count("dining"), "soft_booking": has("booking_soft"),
             "platforms": count("social_platforms"), "engagement": count("engagement"), "byline": has("byline"),
-            "urls": has("article_urls"), "empty": tx.strip(low) == "", "map_label": F.array_contains(tags, "map"),
+            "urls": has("article_urls"), "empty": F.size(lines) == 0, "map_label": F.array_contains(tags, "map"),
             "furniture": tagged("furniture_labels"), "interior": tagged("interior_labels"), "imagery": tagged("imagery_labels"),
             "line": let_all({"shapes": tx.line_shapes(lines), "lines": lines}, line_facts),
         }, lambda fact: body(lambda name: fact("line")[name] if name in LINE_FACTS else fact(name)))
 
+    wanted = sorted({w for name in ("flight_words", "lodging_words") for w in cues[name]} | set(LONE_WORDS))
+
+    def with_words(get):
+        runs = F.array_intersect(tx.word_runs(get("low")), tx.literals(wanted))
+        return let_all({**{n: get(n) for n in ("text", "low", "lines", "labels")}, "words": runs}, facts)
+
     return let(F.coalesce(text, F.lit("")), lambda whole: let_all(
-        {"low": F.lower(whole), "lines": tx.text_lines(whole), "labels": F.transform(labels, lambda x: F.lower(x))}, facts))
+        {"text": whole, "low": F.lower(whole), "lines": tx.text_lines(whole), "labels": F.transform(labels, lambda x: F.lower(x))},
+        with_words))
 
 
 def _points(*terms: tuple[Column, object]) -> Column:
@@ -75,7 +84,7 @@ def _points(*terms: tuple[Column, object]) -> Column:
     total = F.lit(0.0)
     for test, value in terms:
         total = total + F.when(test, value).otherwise(0.0)
-    return F.round(total, 6)
+    return total
 
 
 def _families(*tests: Column) -> Column:
@@ -98,11 +107,12 @@ def _capped(score: Column, families: Column, cap: float = WEAK_CAP) -> Column:
     return F.when(families < vocab.FACET_FAMILIES, F.least(score, F.lit(cap))).otherwise(score)
 
 
-def _score(score: Column, families: Column, sources: Column, off: Column | None = None) -> Column:
-    """A scored facet; where ``off`` holds it is zero."""
-    if off is not None:
-        score, families = F.when(off, 0.0).otherwise(score), F.when(off, 0).otherwise(families)
-    return F.struct(F.round(score, 6).alias("score"), families.alias("families"), sources.alias("sources"))
+def _score(score: Column, families: Column, sources: Column, on: Column, off: Column | None = None) -> Column:
+    """A scored facet, worked out only where ``on`` holds and ``off`` does not; elsewhere zero."""
+    nothing = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("families"), F.array().cast("array<string>").alias("sources"))
+    active = on if off is None else on & ~off
+    return F.when(active, F.struct(
+        F.round(score, 6).alias("score"), families.alias("families"), sources.alias("sources"))).otherwise(nothing)
 
 
 def _is_strong(scored: Column) -> Column:
@@ -124,10 +134,11 @@ def score_facets(_c, body) -> Column:
     trip_sources = _sources(
         entity_pattern=route_family | (_c("codes") == 1) | flight_family, ocr_phrase=hard_family,
         ocr_keyword=(~hard_family & (hard == 1)) | lone_word)
+    any_trip = (_c("codes") > 0) | (hard > 0) | flight_family | _c("flight_word")
     raised = lambda test: F.when(test, F.least(F.lit(0.98), trip + 0.05)).otherwise(trip)
     flights = {
-        "boarding_pass": _score(_capped(raised(_c("boarding") | _c("gate")), families), families, trip_sources),
-        "flight_booking": _score(_capped(raised(_c("booking")), families), families, trip_sources)}
+        "boarding_pass": _score(_capped(raised(_c("boarding") | _c("gate")), families), families, trip_sources, any_trip),
+        "flight_booking": _score(_capped(raised(_c("booking")), families), families, trip_sources, any_trip)}
     return let_all(flights, lambda first: _score_places(_c, first, body))
 
 
@@ -177,12 +188,12 @@ def _score_places(_c, first, body) -> Column:
 
     drawn = _c("design") + _c("frame").cast("int")
     places = {
-        "hotel_booking": _score(_capped(hotel, hotel_families), hotel_families, hotel_sources, flight_high | lone_check_in),
-        "chat": _score(_capped(chat, chat_families), chat_families, chat_sources, feed),
-        "receipt": _score(_capped(receipt, receipt_families), receipt_families, receipt_sources, _c("total") & ~finance & ~currency),
-        "map": _score(F.when(labelled & ~nav, F.least(routed, F.lit(vocab.FACET_EMIT + 0.12))).otherwise(routed), map_families, map_sources),
-        "product_page": _score(product, _families(shop, _c("ikea"), home), product_sources),
-        "design_reference": _score(_points((drawn > 0, _steps(drawn, 0.28, 0.70))), _families(drawn > 0), _sources(ocr_keyword=drawn > 0)),
+        "hotel_booking": _score(_capped(hotel, hotel_families), hotel_families, hotel_sources, lodging | stay | branded, flight_high | lone_check_in),
+        "chat": _score(_capped(chat, chat_families), chat_families, chat_sources, app | _c("delivered") | (_c("pairs") >= 2) | senders, feed),
+        "receipt": _score(_capped(receipt, receipt_families), receipt_families, receipt_sources, finance | currency | amounts, _c("total") & ~finance & ~currency),
+        "map": _score(F.when(labelled & ~nav, F.least(routed, F.lit(vocab.FACET_EMIT + 0.12))).otherwise(routed), map_families, map_sources, nav | labelled),
+        "product_page": _score(product, _families(shop, _c("ikea"), home), product_sources, shop | _c("ikea") | home),
+        "design_reference": _score(_points((drawn > 0, _steps(drawn, 0.28, 0.70))), _families(drawn > 0), _sources(ocr_keyword=drawn > 0), drawn > 0),
     }
     return let_all(places, lambda second: _score_rest(_c, first, second, flight_strong, body))
 
@@ -197,9 +208,9 @@ def _score_rest(_c, first, second, flight_strong, body) -> Column:
     social = F.when(platform & engaged, F.greatest(social, F.lit(vocab.FACET_STRONG + 0.05))).otherwise(social)
     social_families = _families(platform, engaged)
     third = {
-        "reservation": _score(reserve, _families(dining | soft), _sources(ocr_phrase=dining, ocr_keyword=soft), no_table),
+        "reservation": _score(reserve, _families(dining | soft), _sources(ocr_phrase=dining, ocr_keyword=soft), dining | soft, no_table),
         "social_post": _score(_capped(social, social_families), social_families,
-                                    _sources(ocr_keyword=platform, ocr_phrase=engaged), ~platform),
+                                    _sources(ocr_keyword=platform, ocr_phrase=engaged), platform),
     }
 
     long = _c("long") >= 2
@@ -208,7 +219,7 @@ def _score_rest(_c, first, second, flight_strong, body) -> Column:
     article = F.when(long, article).otherwise(F.least(article, F.lit(SOFT_CAP)))
     third["article"] = _score(
         _capped(article, article_families), article_families,
-        _sources(ocr_structure=long, ocr_phrase=_c("byline"), entity_pattern=_c("urls")),
+        _sources(ocr_structure=long, ocr_phrase=_c("byline"), entity_pattern=_c("urls")), long | _c("byline") | _c("urls"),
         third["social_post"]["score"] >= vocab.FACET_STRONG)
 
     def pick(last):

@@ -11,6 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shelfmark.session import ship_package
+
 AS_OF = "2024-02-01 00:00:00"
 
 PROSE_EPOCH = 1685577600      # 2023-06-01
@@ -40,6 +42,7 @@ class Library:
 
     def __init__(self, spark: SparkSession, folder: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
@@ -363,4 +366,4 @@ def views_sql(query: str, extra: dict[str, str] | None = None) -> str:
         return query
     if query.lstrip().lower().startswith("with "):
         query = f"select * from ({query})"
-    return "with " + ",\n".join(f"{name} as ({body})" for name, body in done.items()) + "\n" + query
+    return "with " + ",\n".join(f"{name} as materialized ({body})" for name, body in done.items()) + "\n" + query

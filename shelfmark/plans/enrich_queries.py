@@ -169,7 +169,8 @@ def facet_rows(lib):
 
 @query("en2_facet_evidence", "select item_id, id, confidence, strength, src as sources from v_evidence", FACET_VIEWS)
 def evidence(lib):
-    return facet_rows(lib).select("item_id", F.explode("facet_evidence").alias("e")).select(
+    # The outer form keeps Catalyst from adding a size test that would evaluate the rules twice.
+    return facet_rows(lib).select("item_id", F.explode_outer("facet_evidence").alias("e")).filter("e.id is not null").select(
         "item_id", "e.id", "e.confidence", "e.strength", F.array_join("e.sources", "+").alias("sources"))
 
 
