@@ -204,7 +204,8 @@ def group_stats(members: DataFrame, pairs: DataFrame) -> DataFrame:
     possible = n * (n - 1) / 2
     complete = F.coalesce("edges", F.lit(0)) == possible
     return sizes.join(edges, "group_id", "left").join(weakest, "group_id").select(
-        "group_id", "size", F.when(n < 2, 1.0).otherwise(F.round(F.coalesce("sum_total", F.lit(0.0)) / possible, 6)).alias("mean_cohesion"),
+        "group_id", "size", F.round(F.coalesce("sum_total", F.lit(0.0)), 6).alias("total"),
+        F.when(n < 2, 1.0).otherwise(F.round(F.coalesce("sum_total", F.lit(0.0)) / possible, 6)).alias("mean_cohesion"),
         F.when(n < 2, 1.0).when(complete, F.col("min_total")).otherwise(0.0).alias("weakest_pair"),
         F.when(n < 2, 1.0).otherwise(F.round(F.col("weakest_sum") / (n - 1), 6)).alias("weakest_member"),
         F.coalesce("supported_edges", F.lit(0)).alias("supported_edges"))

@@ -204,7 +204,7 @@ def weighted_search(
     bonus = F.when((F.length("phrase") > 2) & F.contains("haystack", F.col("phrase")), 0.55).otherwise(0.0)
     out = total.join(texts, "item_id").select(
         "query_id", "item_id", "created_at", "matched",
-        F.round(F.col("sum_points") * coverage + bonus, 6).alias("score"))
+        (F.col("sum_points") * coverage + bonus).alias("score"))
     if limit is None:
         return out
     return top_k(out, ["query_id"], [F.desc("score"), F.desc("created_at"), F.asc("item_id")], limit)

@@ -11,7 +11,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.session import ship_package
+from shelfmark.session import durable, ship_package
+
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -48,6 +50,13 @@ class Library:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def shared(self, name: str, build) -> DataFrame:
+        """A derived table that several queries read: written once per application and folder."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _SHARED:
+            _SHARED[key] = durable(build())
+        return _SHARED[key]
+
     @property
     def as_of(self):
         return F.lit(AS_OF).cast("timestamp")

@@ -11,7 +11,6 @@ from shelfmark.plans import duck
 from shelfmark.plans.bind import RECEIPT_ID
 from shelfmark.plans.enrich_queries import LABEL_VIEWS, SOURCE_VIEWS, label_candidates
 from shelfmark.plans.registry import query
-from shelfmark.session import durable
 
 BANDS = (1.1, 1.3, 1.35)   # the bound vectors lie further apart than feature prints
 
@@ -45,7 +44,15 @@ def members(lib):
 
 
 def features(lib):
-    return durable(op.member_features(members(lib)))
+    return lib.shared("features", lambda: op.member_features(lib.shared("members", lambda: members(lib))))
+
+
+def pair_table(lib):
+    return lib.shared("pairs", lambda: op.score_pairs(features(lib), bands=BANDS))
+
+
+def groups(lib):
+    return lib.shared("groups", lambda: cl.cluster_items(features(lib), pair_table(lib)))
 
 
 def _overlap(name):
@@ -124,11 +131,6 @@ def matching_titles(lib):
     return pf.matching_titles(_texts(lib), _live(lib))
 
 
-def _pairs(lib):
-    rows = features(lib)
-    return rows, op.score_pairs(rows, bands=BANDS)
-
-
 _SUMS = {"time": "p_time", "ocr_tokens": "p_tokens", "ocr_entities": "p_entities", "vision": "p_vision", "feature_print": "p_print",
          "facets": "p_facets", "source_platform": "p_platform", "content_type": "p_type", "content_family": "p_family", "profile": "p_profile"}
 
@@ -153,28 +155,25 @@ def peer_pairs(lib):
 @query("cp2_entity_tiers", "select seed_id, sum(high)::bigint as high, sum(medium)::bigint as medium from v_fact group by 1", PAIR_VIEWS)
 def tiers(lib):
     high, medium = op.entity_tiers(F.col("a"), F.col("b"))
-    rows = durable(op.member_features(lib.items))
-    return op.peer_pairs(rows).groupBy(F.col("a.item_id").alias("seed_id")).agg(F.sum(high).alias("high"), F.sum(medium).alias("medium"))
+    return op.peer_pairs(features(lib)).groupBy(F.col("a.item_id").alias("seed_id")).agg(F.sum(high).alias("high"), F.sum(medium).alias("medium"))
 
 
 @query("cp3_pair_channels", """select seed_id, count(*) as pairs, count(*) filter (st and sm) as typed from v_pair
   where (p_facets > 0)::int + st::int + sm::int >= 2 group by 1""", PAIR_VIEWS)
 def channels(lib):
-    rows, pairs = _pairs(lib)
-    full = durable(members(lib).select("item_id", "facets", "content_type", "family"))
-    found = op.pair_channels(full, pairs)
+    found = op.pair_channels(features(lib), pair_table(lib))
     return found.groupBy("seed_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.size("channels") >= 2).alias("typed"))
 
 
 @query("w3_top_peers", f"""select seed_id, peer_id, o as peer_order from (select *, row_number() over (partition by seed_id order by total desc, peer_rank) as o
   from v_pair) where o <= {vocab.RETRIEVAL_SIZE}""", PAIR_VIEWS)
 def top_peers(lib):
-    return op.top_peers(_pairs(lib)[1]).select("seed_id", "peer_id", F.col("peer_order").cast("bigint").alias("peer_order"))
+    return op.top_peers(pair_table(lib)).select("seed_id", "peer_id", F.col("peer_order").cast("bigint").alias("peer_order"))
 
 
 @query("cg1_seed_expansion", f"select seed_id, peer_id, total, admit_order from v_admit where admit_order < {vocab.GROUP_SIZE}", PAIR_VIEWS)
 def expansion(lib):
-    return op.seed_expansion(_pairs(lib)[1]).select("seed_id", "peer_id", "total", F.col("admit_order").cast("bigint").alias("admit_order"))
+    return op.seed_expansion(pair_table(lib)).select("seed_id", "peer_id", "total", F.col("admit_order").cast("bigint").alias("admit_order"))
 
 
 def _expanded(pairs):
@@ -183,30 +182,25 @@ def _expanded(pairs):
         grown.select(F.col("seed_id").alias("group_id"), F.col("seed_id").alias("item_id")).distinct())
 
 
-@query("ag10_group_cohesion", """select g.group_id, size, round(coalesce(s, 0) / (size * (size - 1) / 2.0), 3) as mean_cohesion,
+@query("ag10_group_cohesion", """select g.group_id, size, round(coalesce(s, 0), 6) as total,
     case when n = size * (size - 1) / 2 then low else 0 end as weakest_pair, coalesce(ctx, 0) as supported_edges
   from (select group_id, count(*) as size from v_grp group by 1) g
   left join (select group_id, sum(total) as s, min(total) as low, count(*) as n, count(*) filter (contextual) as ctx from v_inside group by 1) i using (group_id)""", PAIR_VIEWS)
 def cohesion(lib):
-    pairs = durable(_pairs(lib)[1])
+    pairs = pair_table(lib)
     return op.group_stats(_expanded(pairs), pairs).select(
-        "group_id", "size", F.round("mean_cohesion", 3).alias("mean_cohesion"), "weakest_pair", "supported_edges")
+        "group_id", "size", "total", "weakest_pair", "supported_edges")
 
 
 @query("ag11_signal_breakdown", """select group_id, item_id, round(sum(p_time), 3) as time, round(sum(p_entities), 3) as ocr_entities from (
     select group_id, seed_id as item_id, * from v_inside union all select group_id, peer_id, * from v_inside) group by 1, 2""", PAIR_VIEWS)
 def breakdown(lib):
-    pairs = durable(_pairs(lib)[1])
+    pairs = pair_table(lib)
     rows = op.signal_breakdown(_expanded(pairs), pairs, limit=len(op.PARTS))
     value = lambda k: F.round(F.coalesce(F.col("signals")[k], F.lit(0.0)), 3).alias(k)
     return rows.select("group_id", "item_id", value("time"), value("ocr_entities"))
 
 
-def groups(lib):
-    rows = features(lib)
-    return cl.cluster_items(rows, durable(op.score_pairs(rows, bands=BANDS)))
-
-
 @query("cg2_groups")
 def cluster_groups(lib):
     return groups(lib).select(
@@ -232,3 +226,20 @@ def audit(lib):
 @query("cg8_batch_plan")
 def batches(lib):
     return cl.batch_plan(groups(lib)).select("seed_id", F.size("batch_ids").alias("size"), "signature")
+
+
+@query("cg3_sparse_attach")
+def sparse_attach(lib):
+    return groups(lib).select("seed_id", F.explode("audits").alias("x")).groupBy("x.reason").agg(F.count(F.lit(1)).alias("members"))
+
+
+@query("cg5_singleton_reasons")
+def singles(lib):
+    return groups(lib).groupBy(F.coalesce("singleton_reason", F.lit("group")).alias("reason")).agg(F.count(F.lit(1)).alias("seeds"))
+
+
+@query("cg6_result_record")
+def record(lib):
+    signals = op.parts_map(F.col("breakdown"))
+    return groups(lib).select("seed_id", "cluster_id", "mean_cohesion", "weakest_member", "weakest_pair", "supported_edges",
+                              F.array_join(F.array_sort(F.map_keys(signals)), ",").alias("signals"))
