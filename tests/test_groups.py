@@ -30,16 +30,21 @@ def group_of(spark, rows, seed):
 
 
 TRIP = [
-    (1, "a", 20, "Boarding Pass DOH → NRT Seat 12A passenger terminal gate 4 QR 806", []),
-    (2, "a", 15, "Park Hyatt Tokyo\nCheck-in 15:00\nCheck-out 11:00\nGuest room 1204 booking confirmation number ZX44K91", []),
-    (3, "a", 10, "Google Maps Directions 12 min walk to destination Park Hyatt Tokyo", ["map"]),
-    (4, "a", 0, "lol that cat meme again", []),
+    (1, 20, "boarding pass DOH NRT seat 12a", ["airplane"], ["boarding_pass"], 0.8),
+    (2, 10, "park hyatt tokyo confirmation number HX99122", [], ["hotel_booking"], 0.8),
+    (3, 5, "google maps directions to park hyatt", ["map"], ["map"], 0.7),
+    (4, 1, "", ["landmark", "skyscraper"], ["travel_imagery"], 0.6),
+    (5, 15, "lol meme funny chat", ["person"], ["chat"], 0.0),
 ]
 
 
 def test_trip_group(spark):
-    row = group_of(spark, TRIP, 1)
-    assert set(row["member_ids"]) >= {1, 2} and 4 not in row["member_ids"]
+    rows = [(i, "a", START + dt.timedelta(minutes=m), t, ls, fs, s, ["Weekend Context"] if s else []) for i, m, t, ls, fs, s in TRIP]
+    frame = spark.createDataFrame(rows, "item_id bigint, pool_key string, created_at timestamp, ocr_text string, labels array<string>, "
+                                        "facets array<string>, profile_score double, profile_titles array<string>")
+    found = op.member_features(frame)
+    row = cl.cluster_items(found, op.score_pairs(found)).filter("seed_id = 1").first()
+    assert set(row["member_ids"]) >= {1, 2, 3} and 5 not in row["member_ids"]
     assert row["supported_edges"] > 0 and row["singleton_reason"] is None
 
 
