@@ -57,7 +57,7 @@ def words(text: Column) -> Column:
 
 
 def query_tokens(text: Column, limit: int = vocab.MAX_QUERY_TOKENS) -> Column:
-    return F.slice(words(search_text(text)), 1, limit)
+    return F.slice(words(F.lower(text)), 1, limit)   # white space separates words, so it need not be collapsed
 
 
 def text_lines(text: Column) -> Column:

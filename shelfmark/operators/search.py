@@ -18,7 +18,7 @@ def build_postings(items: DataFrame, stem=None) -> DataFrame:
     Terms are counted inside the task that reads the text, so the shuffle carries one row per distinct
     term of an item.  ``stem`` maps a distinct-term frame ``(term)`` to ``(term, stemmed)``.
     """
-    terms = items.select("item_id", tx.words(tx.search_text(F.col("ocr_text"))).alias("terms"))
+    terms = items.select("item_id", tx.words(F.lower("ocr_text")).alias("terms"))
     terms = terms.filter(F.size("terms") > 0)
     flat = terms.select("item_id", F.size("terms").alias("doc_length"), F.explode("terms").alias("term"))
     postings = flat.groupBy("term", "item_id", "doc_length").agg(F.count(F.lit(1)).alias("tf"))

@@ -15,6 +15,7 @@ from shelfmark.session import durable, ship_package
 
 _SHARED: dict[tuple[str, str, str], DataFrame] = {}
 
+TEXT_TABLES = ("documents", "pages")
 AS_OF = "2024-02-01 00:00:00"
 
 PROSE_EPOCH = 1685577600      # 2023-06-01
@@ -48,7 +49,12 @@ class Library:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A whole table.  A text table whose files give fewer tasks than there are cores is spread over them."""
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+        return df
 
     def shared(self, name: str, build) -> DataFrame:
         """A derived table that several queries read: written once per application and folder."""
@@ -86,8 +92,10 @@ class Library:
         text = F.concat(
             F.lit("Receipt #"), key, F.lit("\nSubtotal $"), money("o_totalprice"), F.lit("\nTax $"), money("tax"),
             F.lit("\nBooking reference OD"), key, F.lit("\n"), F.col("o_orderpriority"))
+        # The join shuffles by this key anyway; the fixed count keeps its small output spread for the text rules.
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return (
-            self.table("orders").join(tax, F.col("o_orderkey") == F.col("l_orderkey"))
+            self.table("orders").repartition(parts, "o_orderkey").join(tax, F.col("o_orderkey") == F.col("l_orderkey"))
             .select((F.lit(RECEIPT_ID) + F.col("o_orderkey")).alias("item_id"), text.alias("ocr_text"),
                     F.col("o_orderdate").cast("timestamp").alias("created_at"))
         )
