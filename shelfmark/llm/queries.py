@@ -40,23 +40,23 @@ def cost_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), path("byte_bpe_50k.json"))
 
 
-# No source of the given tables is above its ceiling in more rounds than the recursion does; it stops when none is.
+# With sources in order of ceiling / weight, the level is that of the first one that stays under its ceiling.
 @query("op10_source_mixing", r"""
-    with recursive d as (select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
-                                                              w -> w <> '')) size from documents),
+    with d as (select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                                                    lambda w: w <> '')) size from documents),
     s as (select source, sum(size)::bigint source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 weight from d group by 1),
-    level(round, free, lambda) as (
-      select 0, count(*), sum(source_size) / sum(weight) from s
-      union all
-      select round + 1, (select count(*) from s where lambda * weight <= 3 * source_size),
-             (select (sum(source_size) - coalesce(sum(3 * source_size) filter (not lambda * weight <= 3 * source_size), 0))
-                     / sum(weight) filter (lambda * weight <= 3 * source_size) from s)
-      from level where exists (select 1 from s where lambda * weight > 3 * source_size) and round < 100),
-    t as (select s.*, least(3.0::double * source_size, (select last(lambda order by round) from level) * weight) target from s),
+    c as (select *, sum(source_size) over () total, sum(weight) over () weights,
+                 coalesce(sum(3 * source_size) over before, 0) stopped, coalesce(sum(weight) over before, 0) gone
+          from s window before as (order by 3 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+    l as (select min((total - stopped)::bigint / (weights - gone)::bigint) level from c
+          where (total - stopped)::bigint / (weights - gone)::bigint * weight <= 3 * source_size),
+    t as (select s.*, least(3.0::double * source_size, (select level from l) * weight) target from s),
     p as (select d.*, row_number() over (partition by source order by size, doc_id) - 1 k from d)
     select doc_id, size, source_size, target,
            (floor((k + 1) * (target / source_size) + u) - floor(k * (target / source_size) + u))::bigint * size taken
-    from (select p.doc_id, p.size, p.k, t.source_size, t.target, ('0x' || substr(md5('7:' || coalesce(p.source, '')), 1, 8))::bigint / 4294967296.0::double u from p join t on p.source is not distinct from t.source)""")
+    from (select p.doc_id, p.size, p.k, t.source_size, t.target,
+                 ('0x' || substr(md5('7:' || coalesce(p.source, '')), 1, 8))::bigint / 4294967296.0::double u
+          from p join t on p.source is not distinct from t.source)""")
 def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(documents(spark, folder))
 
