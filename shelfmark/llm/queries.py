@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import exact, golay, mixing, packing, toxicity
+from shelfmark.llm import exact, golay, mixing, packing, rules, toxicity
 from shelfmark.llm.common import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -20,6 +20,48 @@ def toxicity_factorization(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scores(docs, machine).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def _rules_sql() -> str:
+    names = ", ".join(f"'{n}'" for n in rules.COMMON)
+    common = " ".join(f"when '{n}' then [{', '.join(repr(w) for w in words)}]" for n, words in rules.COMMON.items())
+    cut = lambda pattern: f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
+    term = lambda x: f"case when {x} > 0 then 0.5 * {x} * log2(2 * {x} / (p + q)) else 0 end"
+    distance = lambda own, key: f"""
+        select doc_id, sqrt(greatest(0, sum({term('p')} + {term('q')}))) dist from (
+          select doc_id, v / greatest(sum(v) over (partition by doc_id), 1)::double p, r / greatest(sum(r) over (partition by doc_id), 1)::double q
+          from (select doc_id, lang, unnest({own}) v, generate_subscripts({own}, 1) pos from c) a
+          join (select lang, pos, sum(v) r from (select lang, unnest({own}) v, generate_subscripts({own}, 1) pos from c) group by 1, 2) b
+          using (lang, pos)) group by 1"""
+    return rf"""
+    with d as (select doc_id, case when lang in ({names}) then lang else 'other' end lang, coalesce(text, '') t from documents),
+    w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') words,
+                 list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) lines,
+                 case lang {common} else []::varchar[] end common from d),
+    win as (select doc_id, i, array_to_string(words[i:i + 4], ' ') s from (select doc_id, words, unnest(range(1, len(words) - 3)) i from w)),
+    rep as (select doc_id, count(distinct i + k) n from (select doc_id, i, count(*) over (partition by doc_id, s) m from win), range(5) r(k)
+            where m > 1 group by 1),
+    b as (select doc_id, lang, t, words, common, len(words)::bigint n_words, length(array_to_string(words, ''))::bigint word_chars,
+                 ({cut('[#*$%&|<>]')})::bigint n_symbols, (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines,
+                 coalesce(rep.n, 0)::bigint n_repeat_words from w left join rep using (doc_id)),
+    k as (select *, {cut('[A-Z]')} up, {cut('[0-9]')} dig, length(t) - word_chars sp, {cut('[!-/:-@\[-`{-~]')} - n_symbols pt,
+                 {cut('[^\x00-\x7F]')} wide from b),
+    u as (select *, list_transform(common, lambda c: len(list_filter(words, lambda w: w = c))) used from k),
+    c as (select *, [up, dig, sp, n_symbols, pt, wide, length(t) - up - dig - sp - n_symbols - pt - wide] classes,
+                 list_append(used, n_words - coalesce(list_sum(used), 0)) uses from u),
+    dc as ({distance('classes', 'c')}), dw as ({distance('uses', 'w')}),
+    v as (select c.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
+                 case when length(t) >= {rules.LIMITS['chars']} then dc.dist end class_distance,
+                 case when n_words >= {rules.LIMITS['words']} and lang <> 'other' then dw.dist end word_distance
+          from c left join dc using (doc_id) left join dw using (doc_id))
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
+           not base_failed and coalesce(class_distance <= {rules.LIMITS['class_distance']}, true)
+                           and coalesce(word_distance <= {rules.LIMITS['word_distance']}, true) kept from v"""
+
+
+@query("op2_divergence_rules", _rules_sql())
+def divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.verdicts(documents(spark, folder))
+
+
 @query("op4_simhash_golay")
 def simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
     return golay.near_groups(documents(spark, folder)).select(
@@ -45,10 +87,10 @@ def cost_packing(spark: SparkSession, folder: str) -> DataFrame:
     with d as (select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
                                                     lambda w: w <> '')) size from documents),
     s as (select source, sum(size)::bigint source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 weight from d group by 1),
-    c as (select *, sum(source_size) over () total, sum(weight) over () weights,
+    c as (select *, row_number() over (order by 3 * source_size / weight, source nulls last) k, sum(source_size) over () total, sum(weight) over () weights,
                  coalesce(sum(3 * source_size) over before, 0) stopped, coalesce(sum(weight) over before, 0) gone
           from s window before as (order by 3 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)),
-    l as (select min((total - stopped)::bigint / (weights - gone)::bigint) level from c
+    l as (select arg_min((total - stopped)::bigint / (weights - gone)::bigint, k) level from c
           where (total - stopped)::bigint / (weights - gone)::bigint * weight <= 3 * source_size),
     t as (select s.*, least(3.0::double * source_size, (select level from l) * weight) target from s),
     p as (select d.*, row_number() over (partition by source order by size, doc_id) - 1 k from d)
