@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import ascii_lower, land, shared_folder
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# RocksDB on disk; its log files aren't allocated ahead, as many partitions hold little state each.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 LOCATOR = ("_file", "_row")
 
 
@@ -59,8 +62,9 @@ class Seen:
         spark = self.spark
         arrivals = f"{self.folder}/arrivals"
         self._texts(docs).drop("body").write.mode("append").parquet(arrivals)
-        kept = {key: spark.conf.get(key, None) for key in (PROVIDER,)}
-        spark.conf.set(PROVIDER, ROCKS)
+        kept = {key: spark.conf.get(key, None) for key in STATE}
+        for key, value in STATE.items():
+            spark.conf.set(key, value)
         try:
             source = spark.readStream.schema(spark.read.parquet(arrivals).schema)
             if self.files:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import exact, golay, mixing, packing, rules, toxicity
+from shelfmark.llm import exact, golay, grammar, licences, mixing, packing, rules, surrogates, toxicity, weak
 from shelfmark.llm.common import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -20,6 +20,9 @@ def toxicity_factorization(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scores(docs, machine).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+PUNCTUATION = r"[!-/:-@\[-`{-~]"
+
+
 def _rules_sql() -> str:
     names = ", ".join(f"'{n}'" for n in rules.COMMON)
     common = " ".join(f"when '{n}' then [{', '.join(repr(w) for w in words)}]" for n, words in rules.COMMON.items())
@@ -42,7 +45,7 @@ def _rules_sql() -> str:
     b as (select doc_id, lang, t, words, common, len(words)::bigint n_words, length(array_to_string(words, ''))::bigint word_chars,
                  ({cut('[#*$%&|<>]')})::bigint n_symbols, (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines,
                  coalesce(rep.n, 0)::bigint n_repeat_words from w left join rep using (doc_id)),
-    k as (select *, {cut('[A-Z]')} up, {cut('[0-9]')} dig, length(t) - word_chars sp, {cut('[!-/:-@\[-`{-~]')} - n_symbols pt,
+    k as (select *, {cut('[A-Z]')} up, {cut('[0-9]')} dig, length(t) - word_chars sp, {cut(PUNCTUATION)} - n_symbols pt,
                  {cut('[^\x00-\x7F]')} wide from b),
     u as (select *, list_transform(common, lambda c: len(list_filter(words, lambda w: w = c))) used from k),
     c as (select *, [up, dig, sp, n_symbols, pt, wide, length(t) - up - dig - sp - n_symbols - pt - wide] classes,
@@ -62,12 +65,31 @@ def divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.verdicts(documents(spark, folder))
 
 
+# A key for trials; production passes its own secret.
+TRIAL_KEY = b"trial key, not a secret"
+
+
+@query("op3_surrogates")
+def surrogates_of(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.pseudonymised(documents(spark, folder), TRIAL_KEY)
+
+
 @query("op4_simhash_golay")
 def simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
     return golay.near_groups(documents(spark, folder)).select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op5_secret_grammars")
+def secret_grammars(spark: SparkSession, folder: str) -> DataFrame:
+    return grammar.scan(documents(spark, folder))
+
+
+@query("op6_weak_label_quality")
+def weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return weak.label_and_score(documents(spark, folder))
+
+
 @query("op7_exact_dedup", """
     with t as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) h
                from documents),
@@ -77,6 +99,11 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(documents(spark, folder))
 
 
+@query("op8_licence_index")
+def licence_index(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(documents(spark, folder))
+
+
 @query("op9_cost_packing")
 def cost_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), path("byte_bpe_50k.json"))
