@@ -1,9 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document is the set of buckets of its lower-cased terms.  Besides a weight, each term has a short vector; the
+A document is the set of buckets of its lower-cased words and stems.  Besides a weight, each term has a short vector; the
 product of two terms' vectors adds what they mean together, such as an insult beside the name of a group, which
 additive weights miss.  The model is fitted on at most ``Fit.rows`` labelled documents (those with the smallest hash
-of their id) and on the ``Fit.terms`` buckets that differ most between the classes there; both bounds are parameters.
+of their id) and on up to
+``Fit.terms`` buckets that differ most between the classes there, by ``Fit.least`` standard deviations or more.
 Scoring reads whole texts where they lie and shuffles nothing.
 
 Null or empty text has no term and scores by the constant alone; without any labelled row of both classes the
@@ -25,6 +26,8 @@ from shelfmark.llm.common import each_batch, land, raw_texts
 from shelfmark.session import ship_package
 
 FOLDS = 5
+# Bytes of a word's beginning that are a term of their own.
+STEMS = (4, 6)
 
 
 @dataclass(frozen=True)
@@ -33,9 +36,10 @@ class Fit:
     terms: int = 4_096
     bits: int = 20
     factors: int = 4
-    epochs: int = 30
-    step: float = 0.05
-    decay: float = 1e-4
+    least: float = 3.5
+    epochs: int = 40
+    step: float = 0.2
+    decay: float = 1e-5
     seed: int = 11
 
 
@@ -62,9 +66,11 @@ TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57
 
 
 def buckets(text: bytes, bits: int) -> list[int]:
-    """Distinct buckets of the text's terms."""
+    """Distinct buckets of the text's words and of the beginnings of longer ones, which stand for all their endings."""
     mask = (1 << bits) - 1
-    return list({zlib.crc32(term) & mask for term in set(text.translate(TERMS).split())})
+    terms = set(text.translate(TERMS).split())
+    terms |= {b"%s-" % term[:n] for n in STEMS for term in terms if len(term) > n}
+    return list({zlib.crc32(term) & mask for term in terms})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -92,7 +98,8 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), label: str = "to
     share = ones / n
     counted = features.select("y", F.explode("buckets").alias("b")).groupBy("b").agg(F.sum("y").alias("hits"), F.count("*").alias("df"))
     surprise = (F.col("hits") - F.col("df") * share) / F.sqrt(F.col("df") * (share * (1 - share)) + 1.0)
-    best = counted.filter("df > 2").orderBy(F.abs(surprise).desc(), "b").limit(fit.terms)
+    best = (counted.filter("df > 2").select("b", F.abs(surprise).alias("surprise")).filter(F.col("surprise") >= fit.least)
+            .orderBy(F.desc("surprise"), "b").limit(fit.terms))
     for row, bucket in enumerate(r["b"] for r in best.collect()):  # fit.terms numbers
         place[bucket] = row
 

@@ -52,19 +52,20 @@ def shape(text: bytes) -> tuple[list[bytes], dict[str, float]]:
     }
 
 
-def _vote(bad: bool, good: bool) -> int:
+def _vote(bad: bool, good: bool = False) -> int:
     return -1 if bad else int(good)
 
 
+# Most can only object: that a text is not oddly long or loud says little for it.
 LABELLERS = {
-    "length": lambda s: _vote(s["words"] < 10, s["words"] >= 50),
-    "word_length": lambda s: _vote(not 2.5 <= s["mean"] <= 12, 3.5 <= s["mean"] <= 9),
+    "length": lambda s: _vote(s["words"] < 10),
+    "word_length": lambda s: _vote(not 2.5 <= s["mean"] <= 12),
     "symbols": lambda s: _vote(s["symbols"] > 0.1, s["symbols"] < 0.01),
-    "capitals": lambda s: _vote(s["capitals"] > 0.4, s["capitals"] < 0.15),
+    "capitals": lambda s: _vote(s["capitals"] > 0.4),
     "function_words": lambda s: _vote(s["function"] < 0.08 and s["words"] >= 20, s["function"] > 0.18),
-    "repetition": lambda s: _vote((s["variety"] < 0.25 and s["words"] >= 50) or s["lines"] < 0.7, s["lines"] == 1 and s["variety"] > 0.35),
-    "shouting": lambda s: _vote(s["shouts"] > 0.1, s["shouts"] == 0),
-    "digits": lambda s: _vote(s["digits"] > 0.2, s["digits"] < 0.02),
+    "repetition": lambda s: _vote((s["variety"] < 0.25 and s["words"] >= 50) or s["lines"] < 0.7),
+    "shouting": lambda s: _vote(s["shouts"] > 0.1),
+    "digits": lambda s: _vote(s["digits"] > 0.2),
     "sentences": lambda s: _vote(s["ends"] < 0.2, s["ends"] > 0.8),
 }
 
