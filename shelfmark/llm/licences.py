@@ -1,7 +1,7 @@
 """Licence scanning with a positional index of rare words.
 
-Templates are licence notices.  Every template is listed under its rarest words, as counted over all documents, with
-their positions.  A text looks up its own rarest listed words; postings that agree on where the template would begin
+Templates are licence notices.  Every template is listed under its rarest words and those of its key phrase, as counted
+over all documents, with their positions.  A text looks up its own rarest listed words; postings that agree on where the template would begin
 are laid over the text, and a template counts if its key phrase stands there word for word.  The score is the share of
 the template's words in place.  Base phrases are found wherever their words stand in a row.
 
@@ -75,15 +75,16 @@ def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
 
 
 class Index:
-    """Postings of the templates' rarest words.  ``counts``: documents of each template word."""
+    """Postings of the rarest words of each template and of its key phrase.  ``counts``: documents of each template word."""
 
-    def __init__(self, counts: dict[bytes, int], rare: int = 6):
+    def __init__(self, counts: dict[bytes, int], rare: int = 6, of_key: int = 3):
         self.counts = counts
         self.templates = [(label, _phrase(notice), _phrase(key)) for label, notice, key in TEMPLATES]
         self.keys = [next(i for i in range(len(notice)) if notice[i:i + len(key)] == key) for _, notice, key in self.templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for number, (_, notice, _) in enumerate(self.templates):
-            for word in sorted(set(notice), key=lambda w: (counts.get(w, 0), w))[:rare]:
+        rarity = lambda w: (counts.get(w, 0), w)
+        for number, (_, notice, key) in enumerate(self.templates):
+            for word in {*sorted(set(notice), key=rarity)[:rare], *sorted(set(key), key=rarity)[:of_key]}:
                 self.postings.setdefault(word, []).extend((number, i) for i, w in enumerate(notice) if w == word)
 
     def look_up(self, words: list[bytes], present: set[bytes], rarest: int = 8, votes: int = 2) -> list[tuple[str, float]]:
