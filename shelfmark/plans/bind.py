@@ -310,7 +310,7 @@ select item_id, 'chat', ocr_text, created_at from v_chat union all
 select item_id, 'web', ocr_text, created_at from v_web""",
     "v_collection": f"""
 select 0::bigint as collection_id, 'unassigned' as kind, 'Review' as title, false as is_archived, false as is_pinned,
-  'ai' as created_by, make_timestamp({PROSE_EPOCH} * 1000000) as created_at
+  'ai' as created_by, make_timestamp({PROSE_EPOCH}::bigint * 1000000) as created_at
 union all
 select {_CELL}, case when source = 'src0' then 'userContext' else 'aiContext' end, lang || ' ' || source,
   source = 'src19', source = 'src1', case when source = 'src0' then 'user' else 'ai' end,
