@@ -201,21 +201,122 @@ def breakdown(lib):
     return rows.select("group_id", "item_id", value("time"), value("ocr_entities"))
 
 
-@query("cg2_groups")
-def cluster_groups(lib):
-    return groups(lib).select(
+def _walk(start: str, eligible: str, hit: str, size: int) -> str:
+    """Visit the near peers of each seed in order; ``got`` are those inside, ``vain`` those tried for nothing."""
+    tried = f"len(got) between 1 and {size - 2} and not list_contains(got, c.o) and {eligible}"
+    return f"""with recursive step(seed_id, turn, got, vain) as (
+        select seed_id, 0::bigint, {start}, []::bigint[] from v_base union all
+        select s.seed_id, s.turn + 1, case when {tried} and {hit} then list_append(got, c.o) else got end,
+          case when {tried} and not ({hit}) then list_append(vain, c.o) else vain end
+        from step s join v_cand c on c.seed_id = s.seed_id and c.o = s.turn + 1)
+      select seed_id, arg_max(got, turn) as got, arg_max(vain, turn) as vain from step group by 1"""
+
+
+def _mean_of(column: str) -> str:
+    total = f"sum(round({column} * 1e6)::bigint)::bigint"
+    return f"(((2 * {total} + count(*)) // (2 * count(*))) / 1e6)::double"
+
+
+def group_views(sparse: str = "length(trim(f.clean)) < 12", floor: float = vocab.OUTLIER_FLOOR, size: int = vocab.GROUP_SIZE) -> dict[str, str]:
+    """The grouping rules in SQL; ``sparse`` and ``floor`` as bound by the query."""
+    link = "list_has_any(c.others, got)"
+    return {
+        **PAIR_VIEWS,
+        "v_seen": f"""select p.*, {sparse} as sparse, row_number() over (partition by p.seed_id order by p.total desc, p.peer_rank) as o
+          from v_pair p join v_feat f on f.item_id = p.peer_id""",
+        "v_both": "select seed_id as x, peer_id as y, total, contextual from v_pair union all select peer_id, seed_id, total, contextual from v_pair",
+        "v_link": f"""select a.seed_id, a.o, list(b.o order by t.total desc, b.o) as others from v_seen a
+          join v_both t on t.x = a.peer_id and t.contextual and t.total >= {vocab.BRIDGE_PEER_FLOOR}
+          join v_seen b on b.seed_id = a.seed_id and b.peer_id = t.y group by 1, 2""",
+        "v_cand": f"select s.*, coalesce(others, []::bigint[]) as others from v_seen s left join v_link using (seed_id, o) where o <= {vocab.RETRIEVAL_SIZE}",
+        "v_found": f"""select seed_id, list(o order by o)[1:{size - 1}] as got from v_cand
+          where contextual and total >= {vocab.ADMIT_FLOOR} group by 1""",
+        "v_base": "select f.item_id as seed_id, coalesce(got, []::bigint[]) as founders from v_feat f left join v_found on seed_id = f.item_id",
+        "v_bridge": _walk("founders", f"c.total >= {vocab.BRIDGE_SEED_FLOOR}", link, size),
+        "v_attach": _walk("(select b.got from v_bridge b where b.seed_id = v_base.seed_id)", "c.sparse and round(c.p_print::double, 6) >= 0.12",
+                          f"(c.total >= {vocab.BRIDGE_SEED_FLOOR} and (c.contextual or {link}))", size),
+        "v_member": """select seed_id, pos, o, case when pos <= len(founders) then 'seed_expand' when pos <= len(b.got) then 'bridge_admit' else 'fp_attach' end as reason
+          from (select seed_id, unnest(got) as o, generate_subscripts(got, 1) as pos from v_attach) join v_base using (seed_id) join v_bridge b using (seed_id)""",
+        "v_admitted": "select m.seed_id, m.pos, m.o, m.reason, s.peer_id as item_id, s.total from v_member m join v_seen s using (seed_id, o)",
+        "v_side": "select seed_id, 0 as pos, seed_id as item_id from v_base union all select seed_id, pos, item_id from v_admitted",
+        "v_inner": """select a.seed_id, a.item_id as a, b.item_id as b, a.pos as pa, b.pos as pb, t.total, t.contextual from v_side a
+          join v_side b on b.seed_id = a.seed_id and a.pos < b.pos join v_both t on t.x = a.item_id and t.y = b.item_id""",
+        "v_ends": "select seed_id, a as item_id, total, a as one, b as two from v_inner union all select seed_id, b, total, a, b from v_inner",
+        "v_mean": f"select seed_id, item_id, {_mean_of('total')} as support, sum(round(total * 1e6)::bigint) as micros, count(*) as n from v_ends group by 1, 2",
+        "v_pruned": f"select * from v_mean where item_id <> seed_id and micros < {round(floor * 1e6)} * n",
+        "v_left": "select s.* from v_side s anti join v_pruned p on p.seed_id = s.seed_id and p.item_id = s.item_id",
+        "v_edge": "select e.* from v_inner e semi join v_left x on x.seed_id = e.seed_id and x.item_id = e.a semi join v_left y on y.seed_id = e.seed_id and y.item_id = e.b",
+        "v_state": """select seed_id, coalesce(peers, 0) as peers, coalesce(out, 0) as out, size, coalesce(ctx, 0) as ctx,
+            case when peers is null then 'no_peers_in_pool' when size = 1 and out > 0 then 'collapsed_after_prune' when size = 1 then 'peers_scored_none_admitted'
+              when coalesce(ctx, 0) = 0 then 'no_contextual_edge_collapsed' end as single
+          from (select seed_id, count(*) as size from v_left group by 1)
+          left join (select seed_id, count(*) as peers from v_seen group by 1) using (seed_id)
+          left join (select seed_id, count(*) as out from v_pruned group by 1) using (seed_id)
+          left join (select seed_id, count(*) filter (contextual) as ctx from v_edge group by 1) using (seed_id)""",
+        "v_final": "select l.* from v_left l join v_state using (seed_id) where single is null or pos = 0",
+        "v_fedge": "select e.* from v_edge e join v_state using (seed_id) where single is null",
+        "v_support": f"""select f.seed_id, f.item_id, coalesce(s, 1.0)::double as support from v_final f left join (select seed_id, item_id, {_mean_of('total')} as s from (
+            select seed_id, a as item_id, total from v_fedge union all select seed_id, b, total from v_fedge) group by 1, 2) using (seed_id, item_id)""",
+        "v_record": f"""select st.seed_id, array_to_string(ids, ',') as members,
+            case when single is null then 'c_' || array_to_string(list_sort(ids)[1:3], '_') else 'singleton_' || st.seed_id end as cluster_id, single as singleton_reason,
+            array_to_string(list_sort(list_filter([case when bridges > 0 then 'bridge_admit' end, case when prints > 0 then 'fp_attach' end,
+              case when out > 0 then 'pruned_outlier' end, case when single = 'no_contextual_edge_collapsed' then single end,
+              case when single is not null then 'singleton' end, 'precision_first', 'strategy_d_seed_expand_bridge_validate'], lambda x: x is not null)), ',') as flags,
+            peers::int as input_peers, coalesce(mean, 1)::double as mean_cohesion, weak as weakest_member, round(coalesce(low, 1), 6) as weakest_pair,
+            coalesce(edges, 0)::int as supported_edges
+          from v_state st join (select seed_id, list(item_id::varchar order by pos) as ids from v_final group by 1) using (seed_id)
+          join (select seed_id, min(support) as weak from v_support group by 1) using (seed_id)
+          left join (select seed_id, {_mean_of('total')} as mean, min(total) as low, count(*) filter (contextual) as edges from v_fedge group by 1) using (seed_id)
+          left join (select seed_id, count(*) filter (reason = 'bridge_admit') as bridges, count(*) filter (reason = 'fp_attach') as prints from v_admitted group by 1) using (seed_id)""",
+        "v_out": """select s.seed_id, s.peer_id as item_id, s.total, s.contextual, s.o, row_number() over (partition by s.seed_id order by s.o) as n,
+            case when p.item_id is not null then 'pruned_outlier' when s.o > 24 then 'outside_retrieval_pool' when s.contextual and s.total < 0.32 then 'below_admit_threshold'
+              when list_contains(a.vain, s.o) then 'fp_attach_failed' when list_contains(b.vain, s.o) then 'bridge_failed' when s.contextual then 'below_admit_threshold'
+              when s.st then 'type_alone_insufficient' when s.sp then 'source_alone_insufficient' when s.sm then 'family_alone_insufficient'
+              else 'no_contextual_support' end as reason
+          from v_seen s join v_attach a using (seed_id) join v_bridge b using (seed_id)
+          left join v_pruned p on p.seed_id = s.seed_id and p.item_id = s.peer_id
+          anti join v_left l on l.seed_id = s.seed_id and l.item_id = s.peer_id""",
+    }
+
+
+GROUP_VIEWS = group_views()
+# Every third item counts as sparse, groups are larger and the floor is high, so that all branches of the rules are met.
+TRIED = {"sparse": "p.peer_id % 3 = 0", "floor": 0.36, "size": 16}
+TRIED_VIEWS = group_views(**TRIED)
+
+
+def tried_groups(lib):
+    return lib.shared("tried_groups", lambda: cl.cluster_items(
+        features(lib), pair_table(lib).withColumn("peer_sparse", F.col("peer_id") % 3 == 0), size=TRIED["size"], outlier_floor=TRIED["floor"]))
+
+
+def _group_columns(rows):
+    return rows.select(
         "seed_id", F.array_join(F.transform("member_ids", lambda m: m.cast("string")), ",").alias("members"), "cluster_id", "singleton_reason",
         F.array_join("flags", ",").alias("flags"), "input_peers", "mean_cohesion", "weakest_member", "weakest_pair", "supported_edges")
 
 
-@query("cg4_member_support")
+@query("cg2_groups", "select * from v_record", GROUP_VIEWS)
+def cluster_groups(lib):
+    return _group_columns(groups(lib))
+
+
+@query("cg2_groups_strict", "select * from v_record", TRIED_VIEWS)
+def strict_groups(lib):
+    return _group_columns(tried_groups(lib))
+
+
+@query("cg4_member_support", """select seed_id, item_id, support, false as pruned from v_support union all
+  select seed_id, item_id, support, true from v_pruned""", TRIED_VIEWS)
 def support(lib):
-    return groups(lib).select("seed_id", F.explode("support").alias("s")).select("seed_id", "s.item_id", "s.support", "s.pruned")
+    return tried_groups(lib).select("seed_id", F.explode("support").alias("s")).select("seed_id", "s.item_id", "s.support", "s.pruned")
 
 
-@query("cg7_admission_audit")
+@query("cg7_admission_audit", """select seed_id, seed_id as item_id, 'admitted' as side, 'seed' as reason, 1.0::double as total, true as ok from v_base union all
+  select a.seed_id, a.item_id, 'admitted', reason, total, p.item_id is null from v_admitted a left join v_pruned p on p.seed_id = a.seed_id and p.item_id = a.item_id union all
+  select seed_id, item_id, 'rejected', reason, total, contextual from v_out where n <= 5""", TRIED_VIEWS)
 def audit(lib):
-    rows = groups(lib)
+    rows = tried_groups(lib)
     kept = rows.select("seed_id", F.explode("audits").alias("x")).select(
         "seed_id", "x.item_id", F.lit("admitted").alias("side"), "x.reason", "x.total", F.col("x.passed").alias("ok"))
     out = rows.select("seed_id", F.explode("rejected").alias("x")).select(
@@ -223,23 +324,32 @@ def audit(lib):
     return kept.unionByName(out)
 
 
-@query("cg8_batch_plan")
+@query("cg8_batch_plan", """select seed_id, len(string_split(members, ','))::int as size, array_to_string(list_sort(string_split(members, ',')), ',') as signature
+  from v_record""", GROUP_VIEWS)
 def batches(lib):
     return cl.batch_plan(groups(lib)).select("seed_id", F.size("batch_ids").alias("size"), "signature")
 
 
-@query("cg3_sparse_attach")
+@query("cg3_sparse_attach", "select seed_id, item_id, total from v_admitted where reason = 'fp_attach'", TRIED_VIEWS)
 def sparse_attach(lib):
-    return groups(lib).select("seed_id", F.explode("audits").alias("x")).groupBy("x.reason").agg(F.count(F.lit(1)).alias("members"))
+    rows = tried_groups(lib).select("seed_id", F.explode("audits").alias("x")).filter("x.reason = 'fp_attach'")
+    return rows.select("seed_id", "x.item_id", "x.total")
 
 
-@query("cg5_singleton_reasons")
+@query("cg5_singleton_reasons", "select coalesce(single, 'group') as reason, count(*) as seeds from v_state group by 1", TRIED_VIEWS)
 def singles(lib):
-    return groups(lib).groupBy(F.coalesce("singleton_reason", F.lit("group")).alias("reason")).agg(F.count(F.lit(1)).alias("seeds"))
+    return tried_groups(lib).groupBy(F.coalesce("singleton_reason", F.lit("group")).alias("reason")).agg(F.count(F.lit(1)).alias("seeds"))
+
+
+_SIGNALS = {"ocr_entities": "p_entities", "ocr_tokens": "p_tokens", "time": "p_time", "facets": "p_facets", "profile": "p_profile"}
 
 
-@query("cg6_result_record")
+@query("cg6_result_record", f"""select r.seed_id, cluster_id, mean_cohesion, weakest_member, weakest_pair, supported_edges, {", ".join(f"coalesce({k}, false) as {k}" for k in _SIGNALS)}
+  from v_record r left join (select m.seed_id, {", ".join(f"sum({v}) > 0 as {k}" for k, v in _SIGNALS.items())} from v_admitted m join v_seen s using (seed_id, o)
+    join v_state st on st.seed_id = m.seed_id where single is null and m.reason = 'seed_expand' group by 1) x using (seed_id)
+  where flags not like '%bridge_admit%' and flags not like '%fp_attach%'""", GROUP_VIEWS)
 def record(lib):
     signals = op.parts_map(F.col("breakdown"))
-    return groups(lib).select("seed_id", "cluster_id", "mean_cohesion", "weakest_member", "weakest_pair", "supported_edges",
-                              F.array_join(F.array_sort(F.map_keys(signals)), ",").alias("signals"))
+    plain = groups(lib).filter(~F.array_contains("flags", "bridge_admit") & ~F.array_contains("flags", "fp_attach"))
+    return plain.select("seed_id", "cluster_id", "mean_cohesion", "weakest_member", "weakest_pair", "supported_edges",
+                        *[F.array_contains(F.map_keys(signals), k).alias(k) for k in _SIGNALS])
