@@ -56,8 +56,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WORD_BREAK), lambda t: t != "")
 
 
-def query_tokens(text: Column, limit: int = vocab.MAX_QUERY_TOKENS) -> Column:
-    return F.slice(words(F.lower(text)), 1, limit)   # white space separates words, so it need not be collapsed
+def query_tokens(text: Column, limit: int | None = None) -> Column:
+    """All tokens of a query; ``limit`` (an application's is ``vocab.MAX_QUERY_TOKENS``) keeps the first ones."""
+    tokens = words(F.lower(text))   # white space separates words, so it need not be collapsed
+    return tokens if limit is None else F.slice(tokens, 1, limit)
 
 
 def text_lines(text: Column) -> Column:

@@ -37,6 +37,12 @@ def _new_rows(memberships: DataFrame, pairs: DataFrame, now: Column, source: str
         (F.coalesce("last", F.lit(-1)) + F.col("n")).cast(types["position"]).alias("position"))
 
 
+def enter_review(memberships: DataFrame, collections: DataFrame, items: DataFrame, now: Column) -> DataFrame:
+    """``memberships`` with ``items(item_id)`` at the end of the review collection."""
+    pairs = _into_inbox(items.select("item_id").distinct(), collections)
+    return memberships.select(*COLUMNS).unionByName(_new_rows(memberships, pairs, now).select(*COLUMNS))
+
+
 def review_invariant(memberships: DataFrame, collections: DataFrame, scope: DataFrame, now: Column) -> DataFrame:
     """For the items of ``scope``: in review exactly when they belong to no normal collection.
 
@@ -82,13 +88,29 @@ def remove_items_from(memberships, collections, items: DataFrame, collection_id,
 
 
 def delete_collection(memberships, collections, collection_id, now: Column) -> tuple[DataFrame, DataFrame]:
-    """``(collections, memberships)`` without the collection; its items elsewhere stay, the others go to review."""
-    here = F.col("collection_id") == F.lit(collection_id)
-    orphans = memberships.filter(here).select("item_id").distinct()
-    rest = memberships.filter(~here).select(*COLUMNS)
+    """``(collections, memberships)`` without the collection; its items elsewhere stay, the others go to review.
+
+    The review collection itself can't be deleted: then both tables come back as they are.
+    """
+    doomed = _deletable(collections, collection_id)
+    orphans = memberships.join(doomed, "collection_id", "left_semi").select("item_id").distinct()
+    rest = memberships.join(doomed, "collection_id", "left_anti").select(*COLUMNS)
     alone = orphans.join(rest.select("item_id"), "item_id", "left_anti")
     pairs = _into_inbox(alone, collections)
-    return collections.filter(~here), rest.unionByName(_new_rows(rest, pairs, now).select(*COLUMNS))
+    return collections.join(doomed, "collection_id", "left_anti").select(*collections.columns), rest.unionByName(_new_rows(rest, pairs, now).select(*COLUMNS))
+
+
+def delete_collection_and_items(items, memberships, dup_members, postings, collections, collection_id) -> dict[str, DataFrame]:
+    """Delete a collection with all its items, also where they are members elsewhere; the review collection stays."""
+    doomed = _deletable(collections, collection_id)
+    gone = memberships.join(doomed, "collection_id", "left_semi").select("item_id")
+    return remove_items(items, memberships, dup_members, postings, gone) | {
+        "collections": collections.join(doomed, "collection_id", "left_anti").select(*collections.columns)}
+
+
+def _deletable(collections: DataFrame, collection_id) -> DataFrame:
+    """One row or none."""
+    return collections.filter((F.col("collection_id") == F.lit(collection_id)) & (F.col("kind") != "unassigned")).select("collection_id").distinct()
 
 
 def remove_items(items, memberships, dup_members, postings, gone: DataFrame) -> dict[str, DataFrame]:

@@ -29,13 +29,13 @@ def build_postings(items: DataFrame, stem=None) -> DataFrame:
     return postings
 
 
-def refresh_postings(postings: DataFrame, changed: DataFrame, removed: DataFrame | None = None) -> DataFrame:
-    """Replace the rows of ``changed(item_id, ocr_text)`` and drop those of ``removed(item_id)``."""
+def refresh_postings(postings: DataFrame, changed: DataFrame, removed: DataFrame | None = None, stem=None) -> DataFrame:
+    """Replace the rows of ``changed(item_id, ocr_text)`` and drop those of ``removed(item_id)``; ``stem`` as when built."""
     gone = changed.select("item_id")
     if removed is not None:
         gone = gone.unionByName(removed.select("item_id"))
     return postings.join(gone.distinct(), "item_id", "left_anti").select(*postings.columns).unionByName(
-        build_postings(changed).select(*postings.columns))
+        build_postings(changed, stem).select(*postings.columns))
 
 
 def query_terms(queries: DataFrame, stem=None) -> DataFrame:
@@ -83,12 +83,16 @@ def search(
     idf = F.log((F.col("item_count") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = frequency.crossJoin(F.broadcast(totals)).select(  # one row
         "token", "mean_length", F.when(idf > 0, idf).otherwise(F.lit(vocab.BM25_IDF_FLOOR)).alias("idf"))
+    # Every token must match, so the items of a query's rarest token are its only candidates.
+    rarest = wanted.join(frequency, "token").groupBy("query_id", "tokens").agg(
+        F.min(F.struct("df", "token"))["token"].alias("token"), F.countDistinct("position").alias("known")).filter(F.col("known") == F.col("tokens"))
+    candidates = rarest.join(token_hits.select("token", "item_id"), "token").select("query_id", "item_id")
+    asked = candidates.join(wanted, "query_id")
     k1, b = vocab.BM25_K1, vocab.BM25_B
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("doc_length") / F.col("mean_length")))
     scored = (
-        token_hits.join(weights, "token").select("token", "item_id", part.alias("part"))
-        .join(wanted, "token")
+        token_hits.join(asked, ["token", "item_id"]).join(weights, "token").select("query_id", "item_id", "tokens", part.alias("part"))
         .groupBy("query_id", "item_id", "tokens")
         .agg(F.count(F.lit(1)).alias("matched"), F.sum("part").alias("bm25"))
         .filter(F.col("matched") == F.col("tokens"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.operators import membership
+from shelfmark.operators.ranking import group_row_number
+
 STAGES = ("ocr", "visual")
 
 
@@ -27,25 +30,41 @@ def mark_inaccessible(items: DataFrame, missing: DataFrame, now: Column) -> Data
         open_ = hit & F.col(f"{stage}_status").isin("pending", "processing")
         changes[f"{stage}_status"] = F.when(open_, "inaccessible").otherwise(F.col(f"{stage}_status"))
         changes[f"{stage}_claimed_at"] = F.when(~open_, F.col(f"{stage}_claimed_at"))
-    return items.join(gone, "external_id", "left").withColumns(changes).drop("_gone").select(*items.columns)
+    # Rows without an external id can't be listed; they stay out of the join, where they would all meet in one task.
+    named, nameless = _by_name(items)
+    return named.join(gone, "external_id", "left").withColumns(changes).select(*items.columns).unionByName(nameless)
+
+
+def _by_name(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return items.filter(F.col("external_id").isNotNull()), items.filter(F.col("external_id").isNull())
 
 
 def upsert_listing(items: DataFrame, listing: DataFrame, now: Column, new_id=None, versions=None) -> DataFrame:
     """Refresh known rows from ``listing(external_id, created_at)`` and insert the rest as pending.
 
     A row that was inaccessible and is listed again gets its stages back to pending, or to pending when
-    they were completed by an older version.
+    they were completed by an older version.  New rows are numbered on from the largest id, in order of their
+    external ids, so ids never collide; ``new_id`` gives them another way.  Width and height are refreshed where
+    both tables have them.
     """
     versions = versions or {"ocr": 2, "visual": 1}
-    new_id = new_id or (lambda external: F.xxhash64(external))
-    listed = listing.select("external_id", F.col("created_at").alias("_created")).dropDuplicates(["external_id"])
-    listed = listed.withColumn("_listed", F.lit(True))
-    joined = items.join(listed, "external_id", "full_outer")
+    sizes = [c for c in ("width", "height") if c in items.columns and c in listing.columns]
+    listed = listing.select("external_id", F.col("created_at").alias("_created"), *[F.col(c).alias(f"_{c}") for c in sizes]).dropDuplicates(["external_id"])
+    named, nameless = _by_name(items)
+    if new_id is None:
+        fresh_names = listed.select("external_id").join(named.select("external_id"), "external_id", "left_anti")
+        top = items.agg(F.coalesce(F.max("item_id"), F.lit(0)).alias("_top"))
+        ids = group_row_number(fresh_names, [], [F.asc("external_id")], "_n").crossJoin(F.broadcast(top)).select(  # one row
+            "external_id", (F.col("_top") + F.col("_n")).alias("_new_id"))
+    else:
+        ids = listed.select("external_id", new_id(F.col("external_id")).alias("_new_id"))
+    listed = listed.join(ids, "external_id", "left").withColumn("_listed", F.lit(True))
+    joined = named.join(listed, "external_id", "full_outer").unionByName(nameless, allowMissingColumns=True)
     fresh = F.col("item_id").isNull()
     known = F.col("_listed").isNotNull() & ~fresh
     again = known & (F.col("access_state") == "inaccessible")
     columns = {
-        "item_id": F.coalesce("item_id", new_id(F.col("external_id")).cast(dict(items.dtypes)["item_id"])),
+        "item_id": F.coalesce("item_id", F.col("_new_id").cast(dict(items.dtypes)["item_id"])),
         "created_at": F.when(F.col("_listed"), F.col("_created")).otherwise(F.col("created_at")),
         "updated_at": F.when(F.col("_listed"), now).otherwise(F.col("updated_at")),
         "source": F.when(F.col("_listed"), "photos").otherwise(F.col("source")),
@@ -54,6 +73,7 @@ def upsert_listing(items: DataFrame, listing: DataFrame, now: Column, new_id=Non
         "organize_status": F.coalesce("organize_status", F.lit("idle")),
         "organize_locked": F.coalesce("organize_locked", F.lit(False)),
     }
+    columns |= {c: F.coalesce(f"_{c}", c).cast(dict(items.dtypes)[c]) for c in sizes}
     for stage in STAGES:
         status, version = F.col(f"{stage}_status"), F.col(f"{stage}_version")
         back = again & (status == "inaccessible")
@@ -82,3 +102,19 @@ def reconcile(items: DataFrame, listing: DataFrame, now: Column, full_access: bo
     counts = new.agg(F.count(F.lit(1)).alias("inserted")).crossJoin(missing.agg(F.count(F.lit(1)).alias("missing")))  # one row each
     kind = F.when(F.col("inserted") > 0, "organized").when(F.col("missing") > 0, "synced").otherwise("upToDate")
     return upsert_listing(base, listing, now, **options), counts.withColumn("result", kind)
+
+
+def reconcile_tables(
+    items: DataFrame, memberships: DataFrame, dup_members: DataFrame, postings: DataFrame, collections: DataFrame,
+    listing: DataFrame, now: Column, full_access: bool, **options,
+) -> dict[str, DataFrame]:
+    """``reconcile`` with everything that hangs on items.
+
+    Deleted items leave their memberships, index rows and duplicate groups; new ones enter the review collection
+    after its last position.
+    """
+    changed, result = reconcile(items, listing, now, full_access, **options)
+    gone = items.select("item_id").join(changed.select("item_id"), "item_id", "left_anti")
+    fresh = changed.select("item_id").join(items.select("item_id"), "item_id", "left_anti")
+    rest = membership.remove_items(items, memberships, dup_members, postings, gone)
+    return rest | {"items": changed, "result": result, "memberships": membership.enter_review(rest["memberships"], collections, fresh, now)}

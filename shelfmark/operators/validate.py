@@ -98,14 +98,14 @@ def group_issue(json: Column, expected: Column) -> Column:
 
 def request_issue(
     schema_version: Column, member_ids: Column, allow_visual: Column, has_image: Column, text: Column,
-    expected_version: str, max_batch: int = vocab.GROUP_SIZE,
+    expected_version: str, max_batch: int = vocab.GROUP_SIZE, min_batch: int = 1,
 ) -> Column:
-    """Error code of a request before it is sent, or NULL."""
+    """Error code of a request before it is sent, or NULL.  A request about a group needs ``min_batch`` 2."""
     given = schema_version.isNotNull() & (schema_version != "")
     return (
         F.when(given & (schema_version != expected_version), "SCHEMA_VERSION_MISMATCH")
         .when(F.size(member_ids) > max_batch, "BATCH_TOO_LARGE")
-        .when(F.size(F.array_distinct(member_ids)) != F.size(member_ids), "REQUEST_INVALID")
+        .when((F.size(F.array_distinct(member_ids)) != F.size(member_ids)) | (F.size(member_ids) < min_batch), "REQUEST_INVALID")
         .when(allow_visual & ~has_image & (F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0), "VISUAL_REQUIRED"))
 
 

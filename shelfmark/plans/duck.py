@@ -31,7 +31,7 @@ def search_text(x: str) -> str:
 
 
 def query_tokens(x: str) -> str:
-    return f"({words(search_text(x))})[1:{vocab.MAX_QUERY_TOKENS}]"
+    return words(search_text(x))
 
 
 def strip(x: str) -> str:

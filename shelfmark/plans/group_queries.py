@@ -12,7 +12,7 @@ from shelfmark.plans.bind import RECEIPT_ID
 from shelfmark.plans.enrich_queries import LABEL_VIEWS, SOURCE_VIEWS, label_candidates
 from shelfmark.plans.registry import query
 
-BANDS = (1.1, 1.3, 1.35)   # the bound vectors lie further apart than feature prints
+BANDS = (1.3, 1.35, 1.4)   # the bound vectors lie further apart than feature prints
 
 
 def _texts(lib):

@@ -125,6 +125,18 @@ def delete(lib):
     return _rows(op.delete_collection(lib.memberships, lib.collections, EXTRA, lib.as_of)[1])
 
 
+@query("mb4_delete_with_items", f"""select item_id, collection_id, source, confidence, position from v_membership
+  where item_id not in (select item_id from v_membership where collection_id = {EXTRA})""", VIEWS)
+def delete_with_items(lib):
+    groups = lib.dup_members.withColumn("keep_id", F.lit(None).cast("bigint"))
+    return _rows(op.delete_collection_and_items(lib.prose, lib.memberships, groups, search.build_postings(lib.prose), lib.collections, EXTRA)["memberships"])
+
+
+@query("mb4_delete_review", "select item_id, collection_id, source, confidence, position from v_membership", VIEWS)
+def delete_review(lib):
+    return _rows(op.delete_collection(lib.memberships, lib.collections, 0, lib.as_of)[1])
+
+
 @query("mb6_remove_items", """select group_id, item_id, case when keep_id in (select item_id from v_toxic)
     then first_value(item_id) over (partition by group_id order by position) else keep_id end as keep_id
   from (select *, count(*) over (partition by group_id) as n from v_keep where item_id not in (select item_id from v_toxic)) where n >= 2""", VIEWS)

@@ -281,13 +281,13 @@ def member_sets(lib):
     return rows.select("conv_id", F.size(F.array_except("ids", first)).cast("bigint").alias("missing"), F.arrays_overlap("ids", first).alias("overlap"))
 
 
-@query("dq5_request_gates", """select conv_id, case when r = 'system' then 'SCHEMA_VERSION_MISMATCH' when n > 8 then 'BATCH_TOO_LARGE' when n = 6 then 'REQUEST_INVALID'
+@query("dq5_request_gates", """select conv_id, case when r = 'system' then 'SCHEMA_VERSION_MISMATCH' when n > 8 then 'BATCH_TOO_LARGE' when n in (3, 6) then 'REQUEST_INVALID'
     when n = 2 then 'VISUAL_REQUIRED' end as code from (select conv_id, count(*) as n, min(role) as r from conversations group by 1)""")
 def gates(lib):
     rows = lib.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set(F.col("turn").cast("string"))).alias("ids"), F.count(F.lit(1)).alias("n"), F.min("role").alias("r"))
     n, ids = F.col("n"), F.col("ids")
-    members = F.when(n == 6, F.concat(F.slice(ids, 1, 5), F.array(ids[0]))).otherwise(ids)
-    return rows.select("conv_id", va.request_issue(F.when(F.col("r") == "system", F.lit("old")), members, n == 2, F.lit(False), F.lit(" "), "8.3").alias("code"))
+    members = F.when(n == 6, F.concat(F.slice(ids, 1, 5), F.array(ids[0]))).when(n == 3, F.slice(ids, 1, 1)).otherwise(ids)
+    return rows.select("conv_id", va.request_issue(F.when(F.col("r") == "system", F.lit("old")), members, n == 2, F.lit(False), F.lit(" "), "8.3", min_batch=2).alias("code"))
 
 
 @query("tx16_failure_categories", """select event_id as item_id, case when event_type = 'view' then case when floor(value) between 200 and 299 then null when floor(value) between 500 and 599 then 'providerError' else 'gatewayHTTP' end

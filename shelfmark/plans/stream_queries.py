@@ -16,14 +16,16 @@ def rate_limit(lib):
     return op.limit_requests(requests, limit=3, window_seconds=86400).select("client", "request_id", "allowed")
 
 
-@query("sm2_ready_items", """select user_id as item_id, max(case when event_type in ('click', 'error') then event_type end) as ocr_status,
-    max(case when event_type = 'view' then event_type end) as visual_status from events group by 1
-  having count(*) filter (event_type in ('click', 'error')) > 0 and count(*) filter (event_type = 'view') > 0""")
+@query("sm2_ready_items", """select * from (select user_id as item_id, arg_max(status, event_id) filter (event_id % 2 = 0) as ocr_status,
+    arg_max(status, event_id) filter (event_id % 2 = 1) as visual_status
+    from (select *, case event_type when 'click' then 'completed' when 'error' then 'failed' else 'processing' end as status from events) group by 1)
+  where ocr_status in ('completed', 'failed') and visual_status in ('completed', 'failed')""")
 def ready_items(lib):
+    """Events as stage changes: even ones of the text stage, odd ones of the visual stage."""
     kind = F.col("event_type")
-    return lib.table("events").groupBy(F.col("user_id").alias("item_id")).agg(
-        F.max(F.when(kind.isin("click", "error"), kind)).alias("ocr_status"), F.max(F.when(kind == "view", kind)).alias("visual_status")).filter(
-        "ocr_status is not null and visual_status is not null")
+    return op.barrier_batch(lib.table("events").select(
+        F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "ocr").otherwise("visual").alias("stage"),
+        F.when(kind == "click", "completed").when(kind == "error", "failed").otherwise("processing").alias("status")))
 
 
 @query("sm5_latest_status_counts", """select last as status, count(*) as items from (select user_id, arg_max(event_type, event_id) as last from events group by 1) group by 1""")

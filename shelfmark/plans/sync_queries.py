@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import status as st, sync as op
+from shelfmark.operators import search, status as st, sync as op
 from shelfmark.plans.bind import AS_OF
 from shelfmark.plans.registry import query
 from shelfmark.sources import sinks, tables
@@ -91,6 +91,24 @@ def result(lib):
     return op.reconcile(lib.stages, tables.scan_listing(lib.asset_list), lib.as_of, True)[1]
 
 
+SYNC_VIEWS = {
+    **VIEWS,
+    "v_gone": """select item_id from v_stage where source = 'photos' and coalesce(external_id in (select external_id from v_missing), false)""",
+    "v_fresh": """select (select max(item_id) from v_stage where item_id not in (select item_id from v_gone)) + row_number() over (order by external_id) as item_id
+      from (select distinct external_id from v_listing where external_id not in (select external_id from v_stage where external_id is not null))""",
+    "v_stay": "select * from v_membership where item_id not in (select item_id from v_gone)",
+}
+
+
+@query("sy1_reconcile_memberships", """select item_id, collection_id, source, position from v_stay union all
+  select item_id, 0, 'user', coalesce((select max(position) from v_stay where collection_id = 0), -1) + row_number() over (order by item_id) from v_fresh""", SYNC_VIEWS)
+def reconcile_memberships(lib):
+    groups = lib.dup_members.withColumn("keep_id", F.lit(None).cast("bigint"))
+    postings = lib.shared("postings", lambda: search.build_postings(lib.prose))
+    tables_after = op.reconcile_tables(lib.stages, lib.memberships, groups, postings, lib.collections, tables.scan_listing(lib.asset_list), lib.as_of, True)
+    return tables_after["memberships"].select("item_id", "collection_id", "source", "position")
+
+
 def _stale(stage, seconds):
     return f"""{OPEN} and {stage}_status = 'processing' and ({stage}_claimed_at is null or {stage}_claimed_at < {NOW} - interval {seconds} second)"""
 

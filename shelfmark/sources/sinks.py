@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelfmark import vocab
 from shelfmark.functions import text as tx
-from shelfmark.operators.ranking import latest_by, top_k
+from shelfmark.operators.ranking import group_row_number, latest_by
 
 PAYLOAD_CHARACTERS = 4000
 
@@ -38,24 +38,32 @@ def append_decisions(decisions: DataFrame, payload: Sequence[str], path: str) ->
 def request_packs(
     members: DataFrame, eligible: DataFrame | None = None, size: int = vocab.GROUP_SIZE, characters: int = PAYLOAD_CHARACTERS,
 ) -> DataFrame:
-    """One JSON document per group for an external reader of groups.
+    """JSON documents ``(group_id, pack_no, member_count, request_json)`` for an external reader of groups.
 
     ``members(group_id, position, item_id, ocr_text, created_at, facets, platform, content_type, family)``.
-    Group size and payload text are bounded by the receiver's contract; members past the bound are the
-    receiver's next request.  Empty text, lists and unknown values are left out of the JSON.
+    The receiver bounds a request's members and their text.  A longer text becomes several members that follow each
+    other, numbered by ``part``, and a larger group becomes several packs, numbered from 0: nothing is left out.
+    Empty text, lists and unknown values are left out of the JSON.
     """
-    bounded = top_k(members, ["group_id"], [F.asc("position"), F.asc("item_id")], size, "_n")
-    clean = tx.clean_text(F.col("ocr_text"), characters)
+    cleaned = members.withColumn("_text", tx.clean_text(F.col("ocr_text")))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("_text") - 1) / characters)).cast("int"))
+    parts = cleaned.withColumn("_part", F.explode(starts)).withColumn(
+        "_text", F.substring(F.col("_text"), F.col("_part") * characters + 1, F.lit(characters)))
+    keyed = parts.select("group_id", "position", "item_id", "_part")
+    placed = group_row_number(keyed, ["group_id"], [F.asc("position"), F.asc("item_id"), F.asc("_part")], "_n")
+    bounded = parts.join(placed.drop("position"), ["group_id", "item_id", "_part"]).withColumn(
+        "pack_no", F.floor((F.col("_n") - 1) / size).cast("bigint"))
+    clean = F.col("_text")
     known = lambda c: F.when(F.col(c) != vocab.UNKNOWN, F.col(c))
     body = F.struct(
-        F.col("item_id").cast("string").alias("localId"), F.when(clean != "", clean).alias("ocrText"),
+        F.col("item_id").cast("string").alias("localId"), F.when(F.col("_part") > 0, F.col("_part")).alias("part"), F.when(clean != "", clean).alias("ocrText"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"),
         F.when(F.size("facets") > 0, F.col("facets")).alias("facets"), known("platform").alias("platform"),
         known("content_type").alias("contentType"), known("family").alias("contentFamily"))
-    packs = bounded.groupBy("group_id").agg(
+    packs = bounded.groupBy("group_id", "pack_no").agg(
         F.count(F.lit(1)).alias("member_count"), F.array_sort(F.collect_list(F.struct("_n", body.alias("body")))).alias("_all"))
     packs = packs.withColumn("members", F.transform("_all", lambda x: x["body"])).drop("_all")
     if eligible is not None:
         packs = packs.join(eligible, "group_id", "left")
-        return packs.select("group_id", "member_count", F.to_json(F.struct("members", "eligibleCollections")).alias("request_json"))
-    return packs.select("group_id", "member_count", F.to_json(F.struct("members")).alias("request_json"))
+        return packs.select("group_id", "pack_no", "member_count", F.to_json(F.struct("members", "eligibleCollections")).alias("request_json"))
+    return packs.select("group_id", "pack_no", "member_count", F.to_json(F.struct("members")).alias("request_json"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,22 +18,40 @@ from shelfmark.sources.tables import LISTING_SCHEMA, scan_listing
 # ---- incremental ingest ----------------------------------------------------------------------------
 
 
-def listing_stream(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFrame:
-    """Listings as they arrive in a folder, one file being one complete listing."""
-    return spark.readStream.schema(LISTING_SCHEMA).option("maxFilesPerTrigger", 1).format(fmt).load(folder)
+PART_SCHEMA = f"{LISTING_SCHEMA}, listing_id bigint, complete boolean"
+
+
+def listing_stream(spark: SparkSession, folder: str, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
+    """Parts of listings as they arrive in a folder: any number of files, each row naming its listing.
+
+    A row with ``complete`` set and no asset says that all of its listing has been written.
+    """
+    return spark.readStream.schema(PART_SCHEMA).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(folder)
 
 
 def ingest(spark: SparkSession, listings: DataFrame, folder: str, checkpoint: str, full_access: bool = True):
-    """Reconcile the item table below ``folder`` with every listing.
+    """Reconcile the item table below ``folder`` with the newest listing that is complete.
 
-    Each batch writes a new table version named by its batch id, and a repeated batch starts again from
-    the version before it, so a restart gives the same result.
+    Parts wait below ``folder`` until their listing's completion row has come, so a listing in many files never
+    looks like a short one.  A listing states the whole collection; when several become complete in one batch, the
+    largest id counts, and one older than a listing already taken is passed over.  Each batch writes a new table
+    version named by its batch id, and a repeated batch starts again from the version before it, so a restart gives
+    the same result.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}/parts/batch={batch_id}")
+        parts = session.read.schema(PART_SCHEMA).parquet(*[f"{folder}/parts/batch={n}" for n in range(batch_id + 1)])
         items = session.read.parquet(f"{folder}/version={batch_id}")
-        changed, _ = reconcile(items, scan_listing(batch), F.current_timestamp(), full_access)
+        latest = parts.filter("complete").agg(F.max("listing_id")).first()[0]
+        before = session.read.schema(PART_SCHEMA).parquet(*[f"{folder}/parts/batch={n}" for n in range(batch_id)]).filter("complete").agg(
+            F.max("listing_id")).first()[0] if batch_id else None
+        if latest is None or latest == before:
+            changed = items
+        else:
+            listing = parts.filter(F.col("listing_id") == latest).filter("external_id is not null")
+            changed, _ = reconcile(items, scan_listing(listing), F.current_timestamp(), full_access)
         changed.write.mode("overwrite").parquet(f"{folder}/version={batch_id + 1}")
 
     return listings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -41,34 +60,58 @@ def ingest(spark: SparkSession, listings: DataFrame, folder: str, checkpoint: st
 # ---- two-stage barrier -----------------------------------------------------------------------------
 
 
+TERMINAL = ("completed", "failed", "inaccessible")
+TTL_MS = 30 * 86_400_000
+
+
 class BarrierProcessor(StatefulProcessor):
-    """Per item: remember both stage results, emit once when both are terminal."""
+    """Per item: remember the newest result of both stages, emit once when both are terminal.
+
+    After that only a mark is kept, and it expires ``TTL_MS`` after its last use.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stages", "ocr string, visual string, emitted boolean")
+        self.state = handle.getValueState("stages", "ocr string, ocr_seq bigint, visual string, visual_seq bigint", TTL_MS)
+        self.emitted = handle.getValueState("emitted", "done boolean", TTL_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        ocr, visual, emitted = self.state.get() if self.state.exists() else (None, None, False)
+        if self.emitted.exists():
+            self.emitted.update((True,))
+            return
+        ocr, ocr_seq, visual, visual_seq = self.state.get() if self.state.exists() else (None, -1, None, -1)
         for frame in rows:
-            for stage, status in zip(frame["stage"], frame["status"]):
-                if stage == "ocr":
-                    ocr = status
-                else:
-                    visual = status
-        terminal = ("completed", "failed", "inaccessible")
-        if not emitted and ocr in terminal and visual in terminal:
-            emitted = True
+            newest = frame.loc[frame.groupby("stage")["seq"].idxmax()]
+            for stage, seq, status in zip(newest["stage"], newest["seq"], newest["status"]):
+                if stage == "ocr" and seq > ocr_seq:
+                    ocr, ocr_seq = status, seq
+                elif stage != "ocr" and seq > visual_seq:
+                    visual, visual_seq = status, seq
+        if ocr in TERMINAL and visual in TERMINAL:
+            self.state.clear()
+            self.emitted.update((True,))
             yield pd.DataFrame({"item_id": [key[0]], "ocr_status": [ocr], "visual_status": [visual]})
-        self.state.update((ocr, visual, emitted))
+        else:
+            self.state.update((ocr, int(ocr_seq), visual, int(visual_seq)))
 
     def close(self) -> None:
         pass
 
 
 def barrier_stream(changes: DataFrame) -> DataFrame:
-    """``changes(item_id, stage, status)`` to one row per item, when both of its stages are terminal."""
+    """``changes(item_id, seq, stage, status)`` to one row per item, when both of its stages are terminal.
+
+    ``seq`` orders the changes of an item; within one batch they may come in any order.
+    """
     return changes.groupBy("item_id").transformWithStateInPandas(
-        BarrierProcessor(), "item_id bigint, ocr_status string, visual_status string", "Append", "None")
+        BarrierProcessor(), "item_id bigint, ocr_status string, visual_status string", "Append", "ProcessingTime")
+
+
+def barrier_batch(changes: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+    """What the stream emits when all changes come in one batch: an aggregate with map-side combine."""
+    ocr = F.col("stage") == "ocr"
+    newest = lambda of: F.max_by(F.when(of, F.col("status")), F.when(of, F.col("seq")))
+    latest = changes.groupBy("item_id").agg(newest(ocr).alias("ocr_status"), newest(~ocr).alias("visual_status"))
+    return latest.filter(F.col("ocr_status").isin(*terminal) & F.col("visual_status").isin(*terminal))
 
 
 # ---- retry timers ----------------------------------------------------------------------------------
@@ -89,6 +132,7 @@ class RetryProcessor(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if attempt >= vocab.MAX_ATTEMPTS:
+            self.attempts.clear()
             yield pd.DataFrame({"item_id": [key[0]], "attempt": [attempt], "action": ["give_up"]})
             return
         delay = min(vocab.RETRY_BASE_SECONDS * 2 ** (attempt - 1), vocab.RETRY_CAP_SECONDS)
@@ -111,12 +155,12 @@ def retry_stream(failures: DataFrame) -> DataFrame:
 # ---- rolling rate limit ----------------------------------------------------------------------------
 
 
-def _accept(times, recent: list, limit: int, window: int) -> list[bool]:
+def _accept(times, recent: deque, limit: int, window: int) -> list[bool]:
     """Which of the sorted times (microseconds) are allowed; ``recent`` holds accepted times and is updated."""
     out = []
     for now in times:
         while recent and recent[0] < now - window:
-            recent.pop(0)
+            recent.popleft()
         out.append(len(recent) < limit)
         if out[-1]:
             recent.append(now)
@@ -133,7 +177,7 @@ class LimiterProcessor(StatefulProcessor):
         self.recent = handle.getListState("recent", "t bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
+        recent = deque(r[0] for r in self.recent.get()) if self.recent.exists() else deque()
         frames = pd.concat(list(rows)).sort_values(["micros", "request_id"])
         frames["allowed"] = _accept(frames["micros"], recent, self.limit, self.window)
         if recent:
@@ -177,12 +221,20 @@ def limit_requests(requests: DataFrame, limit: int = vocab.RATE_LIMIT, window_se
     around = counted.withColumn("slot", F.floor(F.col("micros") / span)).join(slots, ["client", "slot"]).filter(
         (F.col("micros") >= F.col("first") - span) & (F.col("micros") <= F.col("last"))).select("client", "stretch", "request_id", "micros", "busy")
 
-    def kernel(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["micros", "request_id"])
-        frame["allowed"] = _accept(frame["micros"], [], limit, span)
-        return frame[frame["busy"]][["client", "request_id", "micros", "allowed"]]
-
-    judged = around.groupBy("client", "stretch").applyInPandas(kernel, "client bigint, request_id bigint, micros bigint, allowed boolean")
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole partitions, sorted: of a stretch only the accepted times of one window are held, however long it is."""
+        current, recent = None, deque()
+        for frame in frames:
+            allowed = []
+            for client, stretch, now in zip(frame["client"].tolist(), frame["stretch"].tolist(), frame["micros"].tolist()):
+                if (client, stretch) != current:
+                    current, recent = (client, stretch), deque()
+                allowed += _accept((now,), recent, limit, span)
+            frame["allowed"] = allowed
+            yield frame[frame["busy"]][["client", "request_id", "micros", "allowed"]]
+
+    sorted_rows = around.repartition("client", "stretch").sortWithinPartitions("client", "stretch", "micros", "request_id")
+    judged = sorted_rows.mapInPandas(kernel, "client bigint, request_id bigint, micros bigint, allowed boolean")
     return calm.select("client", "request_id", "micros", F.lit(True).alias("allowed")).unionByName(judged)
 
 

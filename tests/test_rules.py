@@ -26,7 +26,8 @@ def facets(spark, text, labels=()):
 def test_query_tokens(spark):
     assert one(spark, tx.query_tokens(F.col("t")), t="  Hello, WORLD!! ") == ["hello", "world"]
     assert one(spark, tx.query_tokens(F.col("t")), t="   !!!  ") == []
-    assert len(one(spark, tx.query_tokens(F.col("t")), t=" ".join("abcdefghijklmnopq"))) == 12
+    assert len(one(spark, tx.query_tokens(F.col("t")), t=" ".join("abcdefghijklmnopq"))) == 17
+    assert len(one(spark, tx.query_tokens(F.col("t"), 12), t=" ".join("abcdefghijklmnopq"))) == 12
 
 
 def test_clean_text(spark):

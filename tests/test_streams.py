@@ -54,14 +54,16 @@ def test_rate_limit_stream(spark, tmp_path):
 
 
 def test_barrier(spark, tmp_path):
-    schema = "item_id bigint, stage string, status string"
-    rows = [(1, "ocr", "completed"), (2, "ocr", "processing"), (1, "visual", "failed"), (2, "visual", "completed"), (3, "ocr", "completed")]
+    schema = "item_id bigint, seq bigint, stage string, status string"
+    rows = [(1, 9, "ocr", "completed"), (2, 2, "ocr", "processing"), (1, 3, "visual", "failed"), (2, 4, "visual", "completed"), (3, 5, "ocr", "completed"),
+            (1, 1, "ocr", "processing"), (2, 1, "ocr", "failed")]
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder(tmp_path, "in"))
     stream = spark.readStream.schema(schema).parquet(folder(tmp_path, "in"))
     query = op.barrier_stream(stream).writeStream.format("memory").queryName("ready").option(
         "checkpointLocation", folder(tmp_path, "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [tuple(r) for r in spark.table("ready").collect()] == [(1, "completed", "failed")]
+    assert [tuple(r) for r in op.barrier_batch(spark.createDataFrame(rows, schema)).collect()] == [(1, "completed", "failed")]
 
 
 def test_retry_actions(spark, tmp_path):
@@ -85,13 +87,24 @@ def test_ingest(spark, tmp_path):
     base = folder(tmp_path, "items")
     stage_rows(spark, [1, 2, 3]).write.parquet(f"{base}/version=0")
     day = dt.datetime(2024, 1, 5)
-    schema = op.LISTING_SCHEMA
-    for names in (["asset-1", "asset-2", "new-1"], ["asset-1", "new-1", "new-2"]):
-        spark.createDataFrame([(n, day, 10, 10, True) for n in names], schema).coalesce(1).write.mode("append").parquet(folder(tmp_path, "in"))
-    op.ingest(spark, op.listing_stream(spark, folder(tmp_path, "in")), base, folder(tmp_path, "cp")).start().awaitTermination(180)
-    got = {r["external_id"] for r in spark.read.parquet(f"{base}/version=2").collect()}
-    assert got in ({"asset-1", "new-1", "new-2"}, {"asset-1", "asset-2", "new-1"})
-    assert len({r["item_id"] for r in spark.read.parquet(f"{base}/version=2").collect()}) == 3
+
+    def arrive(listing, names, complete):
+        rows = [(n, day, 10, 10, True, listing, False) for n in names] + [(None, None, None, None, None, listing, True)] * complete
+        spark.createDataFrame(rows, op.PART_SCHEMA).coalesce(1).write.mode("append").parquet(folder(tmp_path, "in"))
+        op.ingest(spark, op.listing_stream(spark, folder(tmp_path, "in")), base, folder(tmp_path, "cp")).start().awaitTermination(180)
+
+    def table(version):
+        return sorted(r["external_id"] for r in spark.read.parquet(f"{base}/version={version}").collect())
+
+    arrive(1, ["asset-1"], False)   # one of several files of a listing: nothing may go yet
+    assert table(1) == ["asset-1", "asset-2", "asset-3"]
+    arrive(1, ["asset-2", "new-1"], True)
+    assert table(2) == ["asset-1", "asset-2", "new-1"]
+    arrive(2, ["asset-1", "new-1", "new-2"], True)
+    assert table(3) == ["asset-1", "new-1", "new-2"]
+    arrive(1, ["asset-9"], True)    # late rows of a listing already passed
+    assert table(4) == table(3)
+    assert len({r["item_id"] for r in spark.read.parquet(f"{base}/version=4").collect()}) == 3
 
 
 def test_live_counts(spark, tmp_path):
