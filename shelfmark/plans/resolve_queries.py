@@ -13,7 +13,9 @@ from shelfmark.plans.registry import query
 
 N = duck.normalize_title
 DENIED = duck.inside(duck.GENERIC)
-_FIRST = f"array_to_string(regexp_split_to_array({duck.strip('text')}, '\\s+')[1:4], ' ')"
+# Four words of the whole text stand for what it is about: the distinct ones with the smallest hashes.
+_FIRST = r"""array_to_string(list_transform(list_sort(list_transform(list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')),
+    lambda w: md5(w) || w))[1:4], lambda h: h[33:]), ' ')"""
 
 VIEWS = {
     **_PROFILE,
@@ -79,7 +81,9 @@ VIEWS = {
 
 
 def understood(lib):
-    n, lead = F.col("n_chars"), F.array_join(F.slice(F.split(tx.strip(F.col("text")), r"\s+"), 1, 4), " ")
+    words = F.filter(F.array_distinct(F.split(F.col("text"), r"\s+")), lambda w: w != "")
+    marked = F.slice(F.array_sort(F.transform(words, lambda w: F.concat(F.md5(w), w))), 1, 4)
+    n, lead = F.col("n_chars"), F.array_join(F.transform(marked, lambda h: F.substr(h, F.lit(33))), " ")
     docs = lib.table("documents").withColumn("lead", lead)
     first = F.when(n < 800, F.concat_ws(" ", "lang", "source")).when(n < 1200, F.concat_ws(" ", "source", "lang")).otherwise(F.concat("lead", F.lit("s")))
     none = F.array().cast("array<string>")
