@@ -8,7 +8,13 @@ from shelfmark.plans.registry import query
 from shelfmark.streaming import streams as op
 
 
-@query("sm4_rate_limit")
+@query("sm4_rate_limit", """with recursive e as (select user_id as client, event_id as request_id, epoch_us(ts) as micros,
+    row_number() over (partition by user_id order by ts, event_id) as n from events),
+  walk(client, n, recent, request_id, allowed) as (
+    select client, n, [micros], request_id, true from e where n = 1 union all
+    select client, n, case when len(kept) < 3 then list_append(kept, micros) else kept end, request_id, len(kept) < 3
+    from (select e.*, list_filter(w.recent, lambda t: t >= e.micros - 86400000000) as kept from walk w join e on e.client = w.client and e.n = w.n + 1))
+  select client, request_id, allowed from walk""")
 def rate_limit(lib):
     """Requests of a client are its events; six a day keeps clients busy at this density."""
     requests = lib.table("events").select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"),
