@@ -69,7 +69,8 @@ def acceptable(lib):
     return rows.select("key", "clean", tx.is_acceptable_title(F.col("clean")).alias("accepted"))
 
 
-@query("tx8_first_emoji")
+@query("tx8_first_emoji", f"""select item_id, case when g = '' or regexp_full_match(g, '[\\x00-\\x7F]+') then null else g end as emoji
+  from (select item_id, left_grapheme({duck.strip('ocr_text')}, 1) as g from v_items)""")
 def emoji(lib):
     return lib.items.select("item_id", tx.first_emoji(F.col("ocr_text")).alias("emoji"))
 
