@@ -1,8 +1,9 @@
 """Licence scanning with a positional index of rare words.
 
 Templates are licence notices.  Every template is listed under its rarest words and those of its key phrase, as counted
-over all documents, with their positions.  A text looks up its own rarest listed words; postings that agree on where the template would begin
-are laid over the text, and a template counts if its key phrase stands there word for word.  The score is the share of
+over all documents, with their positions.  A text looks up all listed words that it holds, for the templates whose key phrase
+it has the words of; postings that agree on where the template would begin are laid over the text, and a
+template counts if its key phrase stands there word for word.  The score is the share of
 the template's words in place.  Base phrases are found wherever their words stand in a row.
 
 Both passes (word counts, then look-up) read whole texts where they lie; what is shuffled is a count per template
@@ -87,15 +88,16 @@ class Index:
             for word in {*sorted(set(notice), key=rarity)[:rare], *sorted(set(key), key=rarity)[:of_key]}:
                 self.postings.setdefault(word, []).extend((number, i) for i, w in enumerate(notice) if w == word)
 
-    def look_up(self, words: list[bytes], present: set[bytes], rarest: int = 8, votes: int = 2) -> list[tuple[str, float]]:
+    def look_up(self, words: list[bytes], present: set[bytes], votes: int = 2) -> list[tuple[str, float]]:
         """(label, score) of each template found, best first."""
-        listed = sorted(present & self.postings.keys(), key=lambda w: (self.counts.get(w, 0), w))[:rarest]
-        if not listed:
+        possible = {number for number, (_, _, key) in enumerate(self.templates) if present.issuperset(key)}
+        if not possible:
             return []
-        chosen, ballot = set(listed), Counter()
+        chosen = {word: kept for word in present & self.postings.keys() if (kept := [p for p in self.postings[word] if p[0] in possible])}
+        ballot = Counter()
         for at, word in enumerate(words):
             if word in chosen:
-                ballot.update((number, at - position) for number, position in self.postings[word])
+                ballot.update((number, at - position) for number, position in chosen[word])
         found: dict[str, float] = {}
         for (number, shift), n in ballot.items():
             label, notice, key = self.templates[number]

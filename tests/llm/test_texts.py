@@ -263,6 +263,21 @@ def test_licences(spark):
     assert licences.scan(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("counted", [{}, {b"permission": 900, b"redistribution": 900, b"apache": 900}, {w: i for i, w in enumerate(sorted(licences.VOCABULARY))}])
+def test_all_notices_of_a_text_are_found(counted):
+    index = licences.Index(counted)
+    labels = {label for label, _, _ in licences.TEMPLATES}
+    notices = [notice for _, notice, _ in licences.TEMPLATES]
+    others = " ".join(sorted(w.decode() for w in index.postings))
+    for text in (" filler ".join(notices), " filler ".join(reversed(notices * 3)), f"{others} {' x '.join(notices)} {others}"):
+        words = licences.words_of(text.encode())
+        assert dict(index.look_up(words, set(words))) == dict.fromkeys(labels, 1.0)
+    for label, notice, key in licences.TEMPLATES:  # beside all other listed words; the bare key phrase too
+        for part in (notice, key):
+            words = licences.words_of(f"{others} | {part}".encode())
+            assert label in dict(index.look_up(words, set(words)))
+
+
 @pytest.mark.parametrize("operator", [lambda d: surrogates.pseudonymised(d, KEY), grammar.scan, weak.label_and_score, licences.scan, rules.verdicts])
 def test_rows_come_out_one_for_one(spark, operator):
     want = sorted((r[0] for r in rows()), key=repr)
