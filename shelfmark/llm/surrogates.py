@@ -2,7 +2,8 @@
 
 Detected entities are e-mail addresses, telephone numbers, payment cards, IP addresses, social security numbers and
 personal names.  A surrogate is the entity under a keyed permutation of everything that has its format: digits stay
-digits, letters keep their script, case and whether they are vowels, separators stay; cards keep a right check digit right, octets stay below 256, a given name becomes one of the same script and gender.  A permutation gives distinct entities
+digits, letters keep their script, case and whether they are vowels, separators stay; cards keep a right check digit right, octets stay below 256, a given name becomes one of the same script and gender, telephone numbers keep a leading 0, 00 or 1.  A family name found after a given
+name is replaced wherever the document has it alone.  A permutation gives distinct entities
 of one format distinct surrogates, and the same entity the same surrogate in every document (coreference), with no table and
 no shuffle.  ``collisions`` checks this over a corpus, and that no surrogate is its own entity.
 
@@ -27,6 +28,17 @@ KINDS = ("email", "phone", "card", "ip", "ssn", "name")
 # Patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)")
+# Telephone numbers of other shapes, looked for outside of cards, addresses and social security numbers: after + or 00, with the national
+# length where that is fixed (1, 33, 34); after a trunk 0; nine digits in Spanish groups; seven in American ones.
+GAP = r"[ \u00a0\u202f./()-]{0,3}"
+SEP = r"[ \u00a0\u202f./-]"
+PHONES = re.compile("|".join((
+    rf"(?<![\w+])(?:\+|00)(?:1(?:{GAP}\d){{10}}|3[34](?:{GAP}\(0\))?(?:{GAP}\d){{9}}|[1-9](?:{GAP}\d){{7,14}})(?!\w)",
+    rf"(?<![\w+.-])(?:\(0[1-9]\d{{0,4}}\){SEP}?|0[1-9]\d{{0,4}}{SEP})(?:\d{{2,8}}{SEP}){{0,4}}\d{{2,8}}(?![\w:]|{SEP}\d)",
+    rf"(?<![\w+.-])0[1-9](?P<gap>{SEP})\d\d(?:(?P=gap)\d\d){{3}}(?!\w)|(?<![\w+.-])0[1-9]\d{{7,10}}(?!\w)",
+    rf"(?<![\w+.-])[6-9]\d\d(?:{SEP}\d\d){{3}}(?!\w)|(?<![\w+.-])[6-9]\d{SEP}\d{{3}}(?:{SEP}\d\d){{2}}(?!\w)",
+    r"(?<![\w+.-])[2-9]\d\d-\d{4}(?![\w-])")))
+DATE = re.compile(rf"\d{{1,2}}{SEP}\d{{1,2}}{SEP}(?:\d{{2}}|\d{{4}})")
 CARD = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w])")
 IP = re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\w)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
@@ -42,6 +54,7 @@ GIVEN = {
 # Letters that take each other's place.
 GROUPS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ",
           "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "äöü", "ÄÖÜ", "àâéèêëîïôù", "ÀÂÉÈÊËÎÏÔÙ", "áíóú", "ÁÍÓÚ")
+LEADS = (("0", "0"), ("0", "123456789"), ("1",), ("2345",), ("6789",))
 GROUP_OF = {letter: group for group in reversed(GROUPS) for letter in group}
 GENDER_OF = {name: key for key, names in GIVEN.items() for name in names}
 NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(GENDER_OF, key=lambda n: (-len(n), n))) + r")((?: [^\W\d_][^\W\d_'’-]*)?)(?!\w)")
@@ -82,9 +95,9 @@ def _unshuffled(value: int, size: int, key: bytes, about: str) -> int:
             return value
 
 
-def respelled(text: str, key: bytes, about: str) -> str:
+def respelled(text: str, key: bytes, about: str, groups: list[str | None] | None = None) -> str:
     """``text`` with every letter and digit of the groups replaced, as one number of mixed base."""
-    groups = [GROUP_OF.get(c) for c in text]
+    groups = groups or [GROUP_OF.get(c) for c in text]
     value, size = 0, 1
     for c, group in zip(text, groups):
         if group:
@@ -134,34 +147,72 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
         return ".".join(map(str, displaced(number, 1 << 32, key, kind).to_bytes(4, "big")))
     if kind == "name":
         given, space, family = value.partition(" ")
-        script, gender = GENDER_OF[given]
-        names = GIVEN[script, gender]
-        return names[displaced(names.index(given), len(names), key, f"{script}{gender}")] + space + (_family(family, key) if family else "")
+        if given not in GENDER_OF:
+            return _family(value, key)
+        return _given(given, key) + space + (_family(family, key) if family else "")
+    if kind == "phone":
+        lead = next(lead for lead in LEADS if len(value) >= len(lead) and all(c in group for c, group in zip(value, lead)))
+        return respelled(value, key, kind, [*lead, *GROUPS[:1] * (len(value) - len(lead))])
     return respelled(value, key, kind)
 
 
+def _given(name: str, key: bytes) -> str:
+    script, gender = GENDER_OF[name]
+    names = GIVEN[script, gender]
+    return names[displaced(names.index(name), len(names), key, f"{script}{gender}")]
+
+
+ENDINGS = ("ская", "ский", "ова", "ева", "ина", "ов", "ев", "ин")
+
+
+def _ending(name: str) -> str:
+    return next((e for e in ENDINGS if name.endswith(e) and len(name) > len(e) + 1), "")
+
+
+@lru_cache(maxsize=20_000)
+def _letters(c: str) -> str | None:
+    """The letters that take the place of ``c`` in a name: beyond the groups, those of its case among its 64 neighbours in Unicode."""
+    if c in GROUP_OF or not c.isalpha():
+        return GROUP_OF.get(c)
+    first = ord(c) // 64 * 64
+    return "".join(x for x in map(chr, range(first, first + 64)) if x.isalpha() and x not in GROUP_OF and (x.isupper(), x.islower()) == (c.isupper(), c.islower()))
+
+
 def _family(name: str, key: bytes) -> str:
-    """Another family name of the same letters' kinds; a gendered ending stays."""
-    for ending in ("ская", "ский", "ова", "ева", "ина", "ов", "ев", "ин"):
-        if name.endswith(ending) and len(name) > len(ending) + 1:
-            return respelled(name[:-len(ending)], key, f"family{ending}") + ending
-    return respelled(name, key, "family")
+    """Another family name of the same letters' kinds; a gendered ending stays.
+
+    The next names of the permutation are passed over while they have another ending or are given names, so distinct names stay distinct.
+    """
+    if name in GENDER_OF:
+        return _given(name, key)
+    ending = _ending(name)
+    stem = name[:len(name) - len(ending)]
+    groups = [_letters(c) for c in stem]
+    while True:
+        stem = respelled(stem, key, f"family{ending}", groups)
+        if _ending(stem + ending) == ending and stem + ending not in GENDER_OF:
+            return stem + ending
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what is found, without overlaps; earlier kinds go first where two begin alike."""
-    found = []
+    found, families = [], set()
     if "@" in text:
         found += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
     if any(d in text for d in "0123456789"):
-        found += [(m.start(), m.end(), "card") for m in CARD.finditer(text) if _is_card(m[0])]
         found += [(m.start(), m.end(), "ip") for m in IP.finditer(text)]
+        found += [(m.start(), m.end(), "card") for m in CARD.finditer(_without(text, found)) if _is_card(m[0])]
         found += [(m.start(), m.end(), "ssn") for m in SSN.finditer(text)]
-        found += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text)]
+        found += _phones(text, found)
     if not GENDER_OF.keys().isdisjoint(re.split(r"[^\w]+", text)):
         for m in NAME.finditer(text):
             family = m[2][1:]
             found.append((m.start(), m.end() if family[:1].isupper() else m.end(1), "name"))
+            if family[:1].isupper() and family not in GENDER_OF:
+                families.add(family)
+        if families:
+            alone = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, families), key=lambda f: (-len(f), f))) + r")(?!\w)")
+            found += [(m.start(), m.end(), "name") for m in alone.finditer(text)]
     kept, end = [], 0
     for item in sorted(found, key=lambda f: (f[0], -f[1], KINDS.index(f[2]))):
         if item[0] >= end:
@@ -170,6 +221,29 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return kept
 
 
+def _without(text: str, found: list[tuple[int, int, str]]) -> str:
+    """``text`` with bars for what is found, except for digits after a plus."""
+    parts, at = [], 0
+    for start, end, _ in sorted(found):
+        if start >= at and text[start - 1:start] != "+":
+            parts += [text[at:start], "|" * (end - start)]
+            at = end
+    return "".join([*parts, text[at:]])
+
+
+def _phones(text: str, others: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans of telephone numbers; those that overlap are one."""
+    text = _without(text, others)
+    spans = [m.span() for m in PHONE.finditer(text)]
+    spans += [m.span() for m in PHONES.finditer(text) if len(canonical("phone", m[0])) >= 7 and not DATE.fullmatch(m[0])]
+    joined: list[tuple[int, int, str]] = []
+    for start, end in sorted(spans):
+        if joined and start < joined[-1][1]:
+            start, end = joined[-1][0], max(end, joined.pop()[1])
+        joined.append((start, end, "phone"))
+    return joined
+
+
 def _is_card(text: str) -> bool:
     digits = canonical("card", text)
     return len(set(digits)) > 1

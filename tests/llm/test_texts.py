@@ -1,6 +1,7 @@
 """Toxicity, rules, surrogates, secrets, weak labels and licences: exact parts by brute force, learned parts by held-out accuracy."""
 
 import hashlib
+import itertools
 import os
 import re
 import sys
@@ -139,6 +140,48 @@ def test_surrogates_keep_type_and_coreference():
     assert surrogates.replaced(text, KEY)[0] == new != surrogates.replaced(text, b"other")[0]
 
 
+PHONES = ["01 23 45 67 89", "+33 1 23 45 67 89", "030 1234567", "+49 30 1234567", "0171/1234567", "+34 912 34 56 78", "555-1055", "+1 (523) 555-1055", "(030) 123 45 67",
+          "01.23.45.67.89", "0044 20 79460", "0123456789", "+33 (0)1 23 45 67 89", "+49 (0) 30 / 123 456-78", "912 34 56 78", "91 234 56 78", "+44 20 7946 0958",
+          "+33\u00a01\u00a023\u00a045\u00a067\u00a089"]
+
+
+@pytest.mark.parametrize("phone", PHONES)
+def test_phones_of_four_languages(phone):
+    for text in (phone, f"Tel. {phone}, or ({phone}).", f"{phone} 170.106.47.218 or 4111 1111 1111 1111"):
+        new, found = surrogates.replaced(text, KEY)
+        assert [text[s:e] for s, e, k in found if k == "phone"] == [phone] * text.count(phone)
+        assert [k for _, _, k in found if k != "phone"] == (["ip", "card"] if "or 4" in text else [])
+        assert phone not in new and [k for _, _, k in surrogates.entities(new)] == [k for _, _, k in found]
+
+
+def test_dates_and_counts_are_no_phones():
+    for text in ("01.02.2003", "01/02/2003 10:30", "on 09 11 2001", "2023-05-12", "1914-1918", "3.14159265", "12:30", "0.1234567", "05/2024", "012-34-5678"):
+        assert "phone" not in [k for _, _, k in surrogates.entities(text)]
+
+
+def test_later_family_names_go_too():
+    text = "Smith came. John Smith spoke; then Smith's dog and Smithson. Anna Żółć and Żółć. Maria Παπας, Παπας. Иван Петров, Петров. Anna Peter: Peter."
+    new, found = surrogates.replaced(text, KEY)
+    family = surrogates.surrogate("name", "Smith", KEY)
+    assert surrogates.surrogate("name", "John Smith", KEY).split()[1] == family and new.count(family) == 3 and "Smithson" in new
+    for name in ("Smith ", "Smith'", "Żółć", "Παπας", "Петров", "Peter"):
+        assert name not in new
+    assert len(found) == 11
+
+
+def test_surrogates_of_names_and_phones_stay_distinct():
+    letters = "бвгдж"
+    names = ["".join(p) for p in itertools.product("БВГ", "аеио", letters, "аеио", "внг")] + ["".join(p) for p in itertools.product("R", "aeiou", "pst", "aeiou")]
+    names += [a + b for a in ("Пе", "Па", "По", "Би") for b in surrogates.ENDINGS] + list(surrogates.GENDER_OF)
+    names = sorted(set(names))
+    images = {n: surrogates.surrogate("name", n, KEY) for n in names}
+    assert len(set(images.values())) == len(names) and all(n != i for n, i in images.items())
+    full = {f"Anna {n}": surrogates.surrogate("name", f"Anna {n}", KEY) for n in names}
+    assert len(set(full.values())) == len(names)
+    every = {f"{i:04d}" for i in range(10_000)}
+    assert {surrogates.surrogate("phone", v, KEY) for v in every} == every
+
+
 def test_surrogates_over_tables(spark):
     got = surrogates.pseudonymised(frame(spark), KEY).collect()
     assert len(got) == len(rows())
