@@ -92,7 +92,52 @@ class Tokens:
         return np.split(ids, ends[bounds[1:] + np.arange(count)][:-1])
 
 
-def assign(lengths: list[int], width: int, linear: float, quadratic: float, looks: int = 64) -> list[tuple[int, int, int, int, int]]:
+class Rooms:
+    """The sequences of a shard by tokens of room, each room's in order of cost."""
+
+    def __init__(self, bins: int, width: int):
+        self.by_room: list[list[tuple[float, int]]] = [[] for _ in range(width + 1)]
+        self.by_room[width] = [(0.0, b) for b in range(bins)]
+        self.leaf = 1 << width.bit_length()
+        # A tree over rooms: each node has the cheapest sequence below it.
+        self.tree: list[tuple[float, int, int]] = [NONE] * (2 * self.leaf)
+        self._refresh(width)
+
+    def _refresh(self, room: int) -> None:
+        heap, at = self.by_room[room], self.leaf + room
+        self.tree[at] = (*heap[0], room) if heap else NONE
+        while at > 1:
+            at >>= 1
+            self.tree[at] = min(self.tree[2 * at], self.tree[2 * at + 1])
+
+    def put(self, cost: float, sequence: int, room: int) -> None:
+        heapq.heappush(self.by_room[room], (cost, sequence))
+        self._refresh(room)
+
+    def take(self, least: int) -> tuple[float, int, int]:
+        """The cheapest sequence with ``least`` tokens of room; where none has so much, the cheapest of those with the most room."""
+        best, low, high = NONE, self.leaf + least, 2 * self.leaf
+        while low < high:
+            if low & 1:
+                best, low = min(best, self.tree[low]), low + 1
+            if high & 1:
+                high -= 1
+                best = min(best, self.tree[high])
+            low, high = low >> 1, high >> 1
+        if best is NONE:
+            at = 1
+            while at < self.leaf:
+                at = 2 * at + (self.tree[2 * at + 1] is not NONE)
+            best = self.tree[at]
+        heapq.heappop(self.by_room[best[2]])
+        self._refresh(best[2])
+        return best
+
+
+NONE = (float("inf"), -1, -1)
+
+
+def assign(lengths: list[int], width: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece; sequences count from 0."""
     pieces, rests, sequence = [], [], 0
     for document, n in enumerate(lengths):
@@ -101,30 +146,15 @@ def assign(lengths: list[int], width: int, linear: float, quadratic: float, look
             sequence += 1
         if n % width:
             rests.append((n % width, document, n - n % width))
-    bins = -(-sum(r[0] for r in rests) // width)
-    room = [width] * bins
-    cheapest = [(0.0, b) for b in range(bins)]
+    rooms = Rooms(-(-sum(r[0] for r in rests) // width), width)
     for left, document, start in sorted(rests, key=lambda r: (-r[0], r[1])):
         while left:
-            seen, chosen = [], None
-            while cheapest and len(seen) < looks:
-                best = heapq.heappop(cheapest)
-                if room[best[1]] >= left:
-                    chosen = best
-                    break
-                seen.append(best)
-            if chosen is None:  # cut: fill the sequence with the most room among the cheapest
-                chosen = max(seen, key=lambda s: (room[s[1]], -s[0], -s[1]))
-                seen.remove(chosen)
-            cost, b = chosen
-            n = min(left, room[b])
-            pieces.append((document, start, n, sequence + b, width - room[b]))
-            room[b] -= n
+            cost, b, room = rooms.take(left)
+            n = min(left, room)
+            pieces.append((document, start, n, sequence + b, width - room))
             left, start = left - n, start + n
-            if room[b]:
-                seen.append((cost + linear * n + quadratic * n * n, b))
-            for item in seen:
-                heapq.heappush(cheapest, item)
+            if room > n:
+                rooms.put(cost + linear * n + quadratic * n * n, b, room - n)
     return pieces
 
 

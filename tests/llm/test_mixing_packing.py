@@ -138,3 +138,32 @@ def test_costs_are_balanced():
                 in_order.append(0.0)
                 room = 1024
     assert cost.std() < 0.9 * np.std(in_order[:-1])
+
+
+def plain_assign(lengths, width, linear, quadratic):
+    pieces, rests, sequence = [], [], 0
+    for document, n in enumerate(lengths):
+        for start in range(0, n - width + 1, width):
+            pieces.append((document, start, width, sequence, 0))
+            sequence += 1
+        if n % width:
+            rests.append((n % width, document, n - n % width))
+    bins = -(-sum(r[0] for r in rests) // width)
+    room, cost = [width] * bins, [0.0] * bins
+    for left, document, start in sorted(rests, key=lambda r: (-r[0], r[1])):
+        while left:
+            fit = [b for b in range(bins) if room[b] >= left]
+            b = min(fit, key=lambda b: (cost[b], b)) if fit else min(range(bins), key=lambda b: (-room[b], cost[b], b))
+            n = min(left, room[b])
+            pieces.append((document, start, n, sequence + b, width - room[b]))
+            cost[b] += linear * n + quadratic * n * n
+            room[b] -= n
+            left, start = left - n, start + n
+    return pieces
+
+
+def test_every_sequence_is_searched():
+    rng = np.random.default_rng(8)
+    for width, count in ((1, 5), (2, 40), (7, 300), (100, 900), (1024, 900), (1024, 0)):
+        lengths = rng.integers(0, 3 * width, count).tolist()
+        assert packing.assign(lengths, width, 1.0, 1 / width) == plain_assign(lengths, width, 1.0, 1 / width)
