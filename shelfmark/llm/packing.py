@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,36 +39,60 @@ ODD = rf"(^|{WHITE}) | ({WHITE}|$)"
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """A byte-level BPE coder for a vocabulary file of the ``tokenizers`` library."""
+    """A byte-level BPE coder for a vocabulary file of the ``tokenizers`` library, and the ids of the file's added tokens.
+
+    An added token stands for its string wherever a text holds it, as it does in that library.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
+        held = json.load(file)
+    for token in held["added_tokens"]:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"added token {token['content']!r} takes in its surroundings")
+    vocabulary, added = held["model"]["vocab"], {token["content"]: token["id"] for token in held["added_tokens"]}
     # Byte-level vocabularies write each byte as a printable character: the printable ones of Latin-1 as they are,
     # the others from 256 on.
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    ranks = {bytes(map(byte_of.__getitem__, token)): rank for token, rank in vocabulary.items() if token != "<|endoftext|>"}
-    return tiktoken.Encoding("documents", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(map(byte_of.__getitem__, token)): rank for token, rank in vocabulary.items() if token not in added}
+    return tiktoken.Encoding("documents", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), added
 
 
 class Tokens:
-    """Ids of many texts; a word that occurs often in a slice of texts is coded once."""
+    """Ids of many texts; a word that occurs often in a slice of texts is coded once.
+
+    ``added=False`` takes the strings of added tokens as ordinary text.
+    """
 
-    def __init__(self, path: str):
-        self.coder = encoder(path)
+    def __init__(self, path: str, added: bool = True):
+        self.coder, self.added = encoder(path)
+        if not added:
+            self.added = {}
+        # Of added tokens that start at the same place the longest counts.
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         size = self.coder.max_token_value + 1
         self.bytes_of = np.zeros(size, np.int64)
         for token, rank in self.coder._mergeable_ranks.items():
             self.bytes_of[rank] = len(token)
 
-    def _ids(self, text: str) -> np.ndarray:
+    def _plain(self, text: str) -> np.ndarray:
         return self.coder.encode_to_numpy(text, disallowed_special=())
 
+    def _ids(self, text: str) -> np.ndarray:
+        """Ids of the parts between added tokens, each coded by itself, and the added tokens' own."""
+        parts, at = [], 0
+        for found in self.cut.finditer(text) if self.cut else ():
+            parts += [self._plain(text[at:found.start()]), np.array([self.added[found[0]]], np.uint32)]
+            at = found.end()
+        return np.concatenate([*parts, self._plain(text[at:])]) if parts else self._plain(text)
+
     def of(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """Ids of each text (none null), each followed by ``end``."""
         odd = pc.match_substring_regex(texts, ODD)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
         split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         coded = split.flatten().dictionary_encode()
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
@@ -75,7 +100,7 @@ class Tokens:
         # Every distinct word in one text, each after a space: a token never crosses these spaces.
         words = pc.if_else(pc.equal(coded.dictionary, ""), "-", coded.dictionary)
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
-        of_words = self._ids(" " + joined)
+        of_words = self._plain(" " + joined)
         reach = np.cumsum(self.bytes_of[of_words])
         word_ends = np.searchsorted(reach, np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1), side="left") + 1
         firsts = [self._ids(text if alone else text.partition(" ")[0]) for text, alone in zip(texts.to_pylist(), odd.to_pylist())]

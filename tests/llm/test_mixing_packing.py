@@ -112,13 +112,24 @@ def test_small_shards_still_cover_every_id(spark):
 
 def test_ids_equal_the_tokenizers(spark):
     odd = ["", " ", "  a  b ", "a b", "  x y", "don't we'll  it's\n\n x ", "1 2 3　 4", "日本 語 テキスト", "a\x0b b c", "a \x1c b", "x  y", "  z w",
-           "tab\t and\ttab", "emoji 😀 👩‍👩‍👧 end", "<|endoftext", "a\r\n b"]
+           "tab\t and\ttab", "emoji 😀 👩‍👩‍👧 end", "<|endoftext", "a\r\n b",
+           "hi <|endoftext|> there", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "x  <|endoftext|>  y <|endoftext|>\n", "a <|<|endoftext|>|> b"]
     import pyarrow as pa
 
     tokenizer = Tokenizer.from_file(VOCABULARY)
     for group in (odd, odd[4:5], [r[1] or "" for r in rows(300)]):
         for text, ids in zip(group, packing.Tokens(VOCABULARY).of(pa.array(group), 0)):
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        tokenizer.encode_special_tokens = True  # their strings are then ordinary text
+        for text, ids in zip(group, packing.Tokens(VOCABULARY, added=False).of(pa.array(group), 0)):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        tokenizer.encode_special_tokens = False
+
+
+def test_pieces_of_texts_with_added_tokens(spark):
+    values = ["one <|endoftext|> two", "<|endoftext|>", "plain text", ("word <|endoftext|>" * 900)]
+    data = [(i, t, "en", "a", len(t), 0.0, 0, "", "", 0) for i, t in enumerate(values)]
+    check_pieces(packing.pack(texts(spark, values), VOCABULARY).collect(), data)
 
 
 def test_costs_are_balanced():
