@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import exact, golay, grammar, licences, mixing, packing, rules, surrogates, toxicity, weak
+from shelfmark.llm import exact, golay, grammar, licences, mixing, packing, repair, rules, surrogates, toxicity, weak
 from shelfmark.llm.common import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -130,4 +130,9 @@ def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(documents(spark, folder))
 
 
+@query("op11_conversation_repair")
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.report(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
