@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,31 @@ def land(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+def located(frame: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame:
+    """Add the place of each row: its file and its number there.  A frame that isn't read from Parquet is landed first."""
+    place = [F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)]
+    try:
+        return frame.select("*", *place)
+    except AnalysisException:
+        return land(frame, "rows").select("*", *place)
+
+
+def joined_to_one(rows: DataFrame, ones: DataFrame, key: str, count: str, spread: Column) -> DataFrame:
+    """``rows`` joined to ``ones``, which has one row for each ``key`` and the ``count`` of rows that share it.
+
+    Keys with more rows than an even share are fewer than the partitions, so they are broadcast as keys; their rows are dealt out by ``spread``
+    and their one row is copied to each part.  All other keys are joined as they are.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    even = ones.agg(F.greatest(F.sum(count) / parts, F.lit(1000)).alias("_even"))
+    hot = ones.crossJoin(F.broadcast(even)).filter(F.col(count) > F.col("_even")).select(key, F.lit(True).alias("_hot"))
+    salt = lambda part: F.when(F.col("_hot"), part)
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(salt(F.pmod(spread, F.lit(parts))), F.lit(0))).drop("_hot")
+    copied = ones.join(F.broadcast(hot), key, "left").withColumn(
+        "_salt", F.explode(F.coalesce(salt(F.sequence(F.lit(0), F.lit(parts - 1))), F.array(F.lit(0))))).drop("_hot")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def each_batch(frame: DataFrame, work: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` over ``frame``: ``work(batches)`` yields tuples of columns in the order of ``schema``."""
     ship_package(frame.sparkSession)

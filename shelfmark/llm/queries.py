@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import exact, golay, grammar, licences, mixing, packing, repair, rules, surrogates, toxicity, weak
+from shelfmark.llm import exact, golay, grammar, licences, mixing, packing, repair, rules, surrogates, toxicity, warc, weak
 from shelfmark.llm.common import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -135,4 +135,16 @@ def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.report(spark.read.parquet(f"{folder}/conversations.parquet"))
 
 
+@query("op13_warc_histories", f"""
+    with p as (select page_id, coalesce(html, '') t from pages), q as (select page_id, octet_length(encode(t)) payload_bytes, sha1(t) payload_digest, t from p),
+    g as (select t, max(page_id) last from q where payload_bytes >= {warc.LEAST} group by 1)
+    select page_id, payload_bytes, payload_digest, case when last <> page_id then 'revisit' else 'response' end record_type,
+           case when last <> page_id then last end refers_to from q left join g using (t)""")
+def warc_histories(spark: SparkSession, folder: str) -> DataFrame:
+    # Pages carry no time; the trial counts hours from a fixed day.
+    hours = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(24 * 365 * 50))
+    found = warc.archived(spark.read.parquet(f"{folder}/pages.parquet"), F.timestamp_seconds(1696118400 + 3600 * hours))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
