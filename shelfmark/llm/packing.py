@@ -35,6 +35,7 @@ SLICE_BYTES = 4 << 20
 # A space between two characters that aren't white space always starts a token of its own.
 WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ODD = rf"(^|{WHITE}) | ({WHITE}|$)"
+LEAD_ODD = rf"{WHITE} | ({WHITE}|$)"
 
 
 @lru_cache(maxsize=2)
@@ -90,31 +91,48 @@ class Tokens:
 
     def of(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """Ids of each text (none null), each followed by ``end``."""
-        odd = pc.match_substring_regex(texts, ODD)
+        ids, bounds = self.flat(texts, end)
+        return np.split(ids, bounds[1:-1])
+
+    def flat(self, texts: pa.Array, end: int | None = None, lead: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (none null) one after another, and where each text's begin and end.
+
+        ``end`` is put after each text; with ``lead`` a space is put before it.
+        """
+        odd = pc.match_substring_regex(pc.binary_join_element_wise(" ", texts, "") if lead else texts, LEAD_ODD if lead else ODD)
         for token in self.added:
             odd = pc.or_(odd, pc.match_substring(texts, token))
         split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         coded = split.flatten().dictionary_encode()
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-        count = len(texts)
         # Every distinct word in one text, each after a space: a token never crosses these spaces.
         words = pc.if_else(pc.equal(coded.dictionary, ""), "-", coded.dictionary)
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
         of_words = self._plain(" " + joined)
         reach = np.cumsum(self.bytes_of[of_words])
         word_ends = np.searchsorted(reach, np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1), side="left") + 1
-        firsts = [self._ids(text if alone else text.partition(" ")[0]) for text, alone in zip(texts.to_pylist(), odd.to_pylist())]
-        n = len(words)
-        flat = np.concatenate([of_words, *firsts, np.array([end], np.uint32)])
-        sizes = np.concatenate([np.diff(word_ends, prepend=0), np.fromiter(map(len, firsts), np.int64, count), [1]])
+        # What isn't coded by words: odd texts whole, and first words that have no space before them.
+        alone = np.flatnonzero(odd.to_numpy(zero_copy_only=False)) if lead else np.arange(len(texts))
+        whole = odd.to_numpy(zero_copy_only=False)
+        firsts = []
+        for i in alone.tolist():
+            text = texts[i].as_py()
+            firsts.append(self._ids((" " + text if lead else text) if whole[i] else text.partition(" ")[0]))
+        n, count = len(words), len(firsts)
+        last = [np.array([end], np.uint32)] if end is not None else []
+        flat = np.concatenate([of_words, *firsts, *last])
+        sizes = np.concatenate([np.diff(word_ends, prepend=0), np.fromiter(map(len, firsts), np.int64, count), np.ones(len(last), np.int64)])
         starts = np.cumsum(sizes) - sizes
         used = coded.indices.to_numpy().astype(np.int64)
-        used[bounds[:-1]] = n + np.arange(count)
-        used = np.insert(used, bounds[1:], n + count)
+        used[bounds[alone]] = n + np.arange(count)
+        marks = bounds
+        if last:
+            used = np.insert(used, bounds[1:], n + count)
+            marks = bounds + np.arange(len(bounds))
         lengths = sizes[used]
-        ends = np.cumsum(lengths)
-        ids = flat[np.repeat(starts[used] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
-        return np.split(ids, ends[bounds[1:] + np.arange(count)][:-1])
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = flat[np.repeat(starts[used] - ends[:-1], lengths) + np.arange(int(ends[-1]))]
+        return ids, ends[marks]
 
 
 class Rooms:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import exact, golay, grammar, licences, mixing, packing, repair, rules, surrogates, toxicity, warc, weak
+from shelfmark.llm import align, exact, golay, grammar, licences, mixing, packing, repair, rules, surrogates, toxicity, warc, weak
 from shelfmark.llm.common import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -135,6 +135,11 @@ def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.report(spark.read.parquet(f"{folder}/conversations.parquet"))
 
 
+@query("op12_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align.aligned(documents(spark, folder), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 @query("op13_warc_histories", f"""
     with p as (select page_id, coalesce(html, '') t from pages), q as (select page_id, octet_length(encode(t)) payload_bytes, sha1(t) payload_digest, t from p),
     g as (select t, max(page_id) last from q where payload_bytes >= {warc.LEAST} group by 1)
