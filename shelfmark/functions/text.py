@@ -216,11 +216,42 @@ def entity_columns(text: Column, strict: bool = False) -> dict[str, Column]:
 # ---- needles, lines, redaction ---------------------------------------------------------------------
 
 
+def trie_pattern(phrases: Iterable[str]) -> str:
+    """One pattern for all ``phrases``: common beginnings are tried once, and the longest phrase at a place wins."""
+    root: dict = {}
+    for phrase in phrases:
+        node = root
+        for char in phrase:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def alternatives(node: dict) -> str:
+        branches = [(char if char.isalnum() else f"\\x{{{ord(char):x}}}") + alternatives(below) for char, below in sorted(node.items()) if char]
+        joined = branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})" if branches else ""
+        return f"(?:{joined})?" if "" in node and joined else joined
+
+    return alternatives(root)
+
+
+def found_words(text: Column, wanted: Iterable[str]) -> Column:
+    """The distinct ``wanted`` words that stand between word boundaries in ``text``, in one pass."""
+    part = r"[\p{IsAlphabetic}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}]"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?<!{part})(?:{trie_pattern(set(wanted))})(?!{part})"), F.lit(0)))
+
+
 def _needle_array(needles: Sequence[str]) -> Column:
     """A constant array from one literal; Catalyst folds the split."""
     return F.split(F.lit("\x1f".join(needles)), "\x1f")
 
 
+def contained(text: Column, needles: Sequence[str]) -> Column:
+    """How many of ``needles`` occur, as a plain sum of tests."""
+    total = F.lit(0)
+    for needle in needles:
+        total = total + F.contains(text, F.lit(needle)).cast("int")
+    return total
+
+
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
     return F.exists(_needle_array(needles), lambda n: F.contains(text, n))
 

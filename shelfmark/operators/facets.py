@@ -40,7 +40,7 @@ def text_cues(text: Column, labels: Column, body, cues: dict | None = None) -> C
     def facts(get):
         low, lines, tags = get("low"), get("lines"), get("labels")
         has = lambda name: tx.contains_any(low, cues[name])
-        count = lambda name: tx.count_contained(low, cues[name])
+        count = lambda name: tx.contained(low, cues[name])
         runs = get("words")
         words = lambda name: F.size(F.array_intersect(runs, tx.literals(cues[name])))
         word = lambda w: F.array_contains(runs, w)
@@ -71,7 +71,7 @@ def text_cues(text: Column, labels: Column, body, cues: dict | None = None) -> C
     wanted = sorted({w for name in ("flight_words", "lodging_words") for w in cues[name]} | set(LONE_WORDS))
 
     def with_words(get):
-        runs = F.array_intersect(tx.word_runs(get("low")), tx.literals(wanted))
+        runs = tx.found_words(get("low"), wanted)
         return let_all({**{n: get(n) for n in ("text", "low", "lines", "labels")}, "words": runs}, facts)
 
     return let(F.coalesce(text, F.lit("")), lambda whole: let_all(

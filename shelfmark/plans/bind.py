@@ -11,11 +11,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.session import durable, ship_package
+from shelfmark.session import landed, ship_package
 
-_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+_SHARED: dict[tuple, DataFrame] = {}
 
 TEXT_TABLES = ("documents", "pages")
+SOURCES = ("documents", "pages", "conversations", "orders", "lineitem", "part", "embeddings")   # what the shared tables are made of
 AS_OF = "2024-02-01 00:00:00"
 
 PROSE_EPOCH = 1685577600      # 2023-06-01
@@ -49,15 +50,27 @@ class Library:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        """A whole table.  The rules over texts cost far more than a shuffle of the columns that they read, so texts are spread evenly."""
+        """A whole table.  The rules over texts cost far more than reading them: where the files make fewer tasks than there are cores,
+        texts are dealt out to all of them; larger tables are used as they are read."""
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions"))) if name in TEXT_TABLES else df
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores else df
+
+    @cached_property
+    def stamp(self) -> tuple:
+        """Which files the tables consist of, and when they last changed."""
+        context, seen = self.spark.sparkContext, []
+        for name in SOURCES:
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
+            store = path.getFileSystem(context._jsc.hadoopConfiguration())
+            seen += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in store.listStatus(path)]
+        return tuple(seen)
 
     def shared(self, name: str, build) -> DataFrame:
-        """A derived table that several queries read: written once per application and folder."""
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        """A derived table that several queries read: written once per application and state of the tables."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name, self.stamp)
         if key not in _SHARED:
-            _SHARED[key] = durable(build())
+            _SHARED[key] = landed(build(), name)
         return _SHARED[key]
 
     @property

@@ -164,7 +164,13 @@ FACET_VIEWS = {
 
 
 def facet_rows(lib):
-    return fc.facet_evidence(lib.items)
+    """(item_id, facet_evidence, facets) of all items, written once for the queries that start from them."""
+    def build():
+        # Dealt out evenly, as the rules cost far more than the shuffle; it also keeps Catalyst from planning them once for each kind of item.
+        items = lib.items.select("item_id", "ocr_text").repartition("item_id")
+        typed = fc.facet_evidence(items).select("item_id", "facet_evidence")
+        return typed.withColumn("facets", fc.strong_facets(F.col("facet_evidence")))
+    return lib.shared("facets", build)
 
 
 @query("en2_facet_evidence", "select item_id, id, confidence, strength, src as sources from v_evidence", FACET_VIEWS)
@@ -176,7 +182,7 @@ def evidence(lib):
 
 @query("en3_strong_facets", "select item_id, array_to_string(facets, ',') as facets from v_strong", FACET_VIEWS)
 def strong(lib):
-    return facet_rows(lib).select("item_id", F.array_join(fc.strong_facets(F.col("facet_evidence")), ",").alias("facets"))
+    return facet_rows(lib).select("item_id", F.array_join("facets", ",").alias("facets"))
 
 
 @query("tx14_line_shapes", """select item_id, headers, dheaders, dates, tiny, longl, msgs, pairs, cards, delivered, senders, amounts from v_cue""", FACET_VIEWS)
@@ -185,7 +191,7 @@ def shapes(lib):
              "pairs": "pairs", "cards": "cards", "senders": "senders", "amounts": "amounts"}
     facts = fc.text_cues(F.col("ocr_text"), F.array().cast("array<string>"), lambda get: F.struct(
         *[get(v).cast("bigint").alias(k) for k, v in names.items()], get("delivered").alias("delivered")))
-    return lib.items.select("item_id", facts.alias("f")).select("item_id", "f.*")
+    return lib.items.select("item_id", "ocr_text").repartition("item_id").select("item_id", facts.alias("f")).select("item_id", "f.*")
 
 
 # ---- source ----------------------------------------------------------------------------------------
@@ -225,8 +231,9 @@ SOURCE_VIEWS = {
 
 
 def source_rows(lib):
-    rows = facet_rows(lib).withColumn("facets", fc.strong_facets(F.col("facet_evidence")))
-    return so.source_evidence(rows)
+    return lib.shared("sources", lambda: so.source_evidence(
+        lib.items.select("item_id", "ocr_text").repartition("item_id").join(facet_rows(lib).select("item_id", "facets"), "item_id")).select(
+        "item_id", "facets", "platform", "content_type", "family", "surface"))
 
 
 @query("en4_source_evidence", "select * from v_source", SOURCE_VIEWS)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark import vocab
-from shelfmark.operators import cluster as cl, facets as fc, labels as lb, pairs as op, profiles as pf, source as so
+from shelfmark.operators import cluster as cl, labels as lb, pairs as op, profiles as pf
 from shelfmark.functions import text as tx
 from shelfmark.plans import duck
 from shelfmark.plans.bind import RECEIPT_ID
-from shelfmark.plans.enrich_queries import LABEL_VIEWS, SOURCE_VIEWS, label_candidates
+from shelfmark.plans.enrich_queries import LABEL_VIEWS, SOURCE_VIEWS, label_candidates, source_rows
 from shelfmark.plans.registry import query
 
 BANDS = (1.3, 1.35, 1.4)   # the bound vectors lie further apart than feature prints
@@ -34,10 +34,8 @@ def members(lib):
     # The joins below all use item_id; a fixed partition count also spreads the costly rules.
     parts = int(lib.spark.conf.get("spark.sql.shuffle.partitions"))
     rows = lib.items.repartition(parts, "item_id").join(labels, "item_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
-    typed = rows.select("*", fc.strong_facets(fc.facets_of(F.col("ocr_text"))).alias("facets"))
-    sourced = typed.select("*", so.source_of(F.col("ocr_text"), F.col("facets")).alias("s")).select(
-        *typed.columns, F.col("s.platform.value").alias("platform"), F.col("s.content_type.value").alias("content_type"),
-        F.col("s.family.value").alias("family"))
+    sources = source_rows(lib).select("item_id", "facets", *[F.col(f"{c}.value").alias(c) for c in ("platform", "content_type", "family")])
+    sourced = rows.join(sources, "item_id")
     flat = labels.select("item_id", F.explode("labels").alias("identifier"))
     profile = pf.profile_columns(_texts(lib), _live(lib), flat)
     return sourced.join(profile, "item_id", "left").join(vectors, "item_id", "left")
