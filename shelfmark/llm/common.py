@@ -64,6 +64,14 @@ def located(frame: DataFrame, file: str = "_file", row: str = "_row") -> DataFra
         return land(frame, "rows").select("*", *place)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, made longer until none of ``frames`` has a column of that name."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def joined_to_one(rows: DataFrame, ones: DataFrame, key: str, count: str, spread: Column) -> DataFrame:
     """``rows`` joined to ``ones``, which has one row for each ``key`` and the ``count`` of rows that share it.
 

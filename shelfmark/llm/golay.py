@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import components, each_batch, land, raw_texts
+from shelfmark.llm.common import components, each_batch, land, raw_texts, unused
 
 # Generator of the binary Golay code; lengths of the segments, from the top.
 GENERATOR = 0b101011100011
@@ -159,7 +159,7 @@ def near_groups(docs: DataFrame, **options) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest; rows without an id stay."""
-    grouped = near_groups(docs)
+    grouped, name = near_groups(docs), unused("_gone", docs)
     gone = (grouped.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
-            .filter("not stays").select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+            .filter("not stays").select(F.col("doc_id").alias(name)))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -54,29 +54,29 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 def mix(docs: DataFrame, *, id_column: str = "doc_id", source_column: str = "source", size: Column | None = None,
         seed: int = 7) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies added; ``size`` defaults to the words of ``text``."""
-    sized = docs.withColumn("_size", word_count(F.col("text")) if size is None else size)
-    order = [F.col(source_column).asc_nulls_last(), F.col("_size"), F.col(id_column)]
-    placed = numbered(sized, order, "_position", "mixed")
-    shares = targets(placed.select(F.col(source_column).alias("source"), F.col("_size").alias("size"), F.col("_position").alias("position")))
-    shares = shares.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("first").alias("_first"),
-                           F.col("target").alias("_target"))
-    joined = placed.join(shares, F.col(source_column).eqNullSafe(F.col("_source")))
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    place, start = F.col("_position") - F.col("_first"), offset(F.col(source_column), seed)
+    """Each row of ``docs`` as the struct ``row``, with its id, source, size, source_size, target and copies.
+
+    ``size`` defaults to the words of ``text``.  As a struct the row may have columns of any names.
+    """
+    sized = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(f"`{id_column}`").alias("id"),
+                        F.col(f"`{source_column}`").alias("source"), (word_count(F.col("text")) if size is None else size).alias("size"))
+    placed = numbered(sized, [F.col("source").asc_nulls_last(), F.col("size"), F.col("id")], "position", "mixed")
+    shares = targets(placed.select("source", "size", "position")).withColumnRenamed("source", "of_source")
+    joined = placed.join(shares, F.col("source").eqNullSafe(F.col("of_source")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    place, start = F.col("position") - F.col("first"), offset(F.col("source"), seed)
     copies = F.floor((place + 1) * rate + start) - F.floor(place * rate + start)
-    return joined.withColumn("_copies", copies.cast("long")).drop("_source", "_first", "_position")
+    return joined.select("row", "id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted) of every document."""
     narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"))
     return mix(narrow, size=F.col("words"), **options).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_copies") * F.col("_size")).alias("taken"))
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    chosen = mix(docs, **options).filter("_copies > 0")
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    chosen = mix(docs, **options).filter("copies > 0")
+    return chosen.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

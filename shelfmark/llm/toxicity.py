@@ -81,14 +81,15 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), label: str = "to
     """Fit on the labelled rows outside the held-out fold."""
     known = (labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
              .filter(~held_out(F.col("doc_id"))))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.rows).withColumnRenamed("doc_id", "_labelled")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.rows).select(F.col("doc_id").alias("labelled"), "y")
 
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             yield batch.column(1), [sorted(buckets(t, fit.bits)) for t in raw_texts(batch.column(0))]
 
-    # At most fit.rows rows of two numbers: small enough for every executor.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled")).select("text", "y")
+    # At most fit.rows rows of two numbers: small enough for every executor.  Of rows with the same id one is learnt from.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).groupBy("doc_id").agg(
+        F.min(F.struct(F.sha2("text", 256).alias("digest"), "text", "y")).alias("one")).select("one.text", "one.y")
     features = land(each_batch(rows, work, "y int, buckets array<int>"), "features")
     n, ones = features.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     place = np.full(1 << fit.bits, fit.terms, np.int64)

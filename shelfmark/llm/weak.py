@@ -29,6 +29,8 @@ FUNCTION_WORDS = frozenset((
 ).encode().split())
 BITS = 18
 SHAPES = 16
+# Distinct words of a row that the scorer is fitted on at most; scoring takes them all.
+LEARNT = 4096
 
 
 def shape(text: bytes) -> tuple[list[bytes], dict[str, float]]:
@@ -106,6 +108,15 @@ def features(words: list[bytes], s: dict[str, float]) -> tuple[np.ndarray, np.nd
     return np.concatenate([places, steps]), np.concatenate([values, np.ones(len(steps))])
 
 
+def _learnt(places: np.ndarray) -> np.ndarray:
+    """Which features of a row the scorer is fitted on: all shapes, and the LEARNT words with the smallest mixed buckets."""
+    words = np.flatnonzero(places < 1 << BITS)
+    if len(words) <= LEARNT:
+        return np.arange(len(places))
+    mixed = places[words] * 2654435761 % (1 << 32)
+    return np.sort(np.concatenate([words[np.argsort(mixed, kind="stable")[:LEARNT]], np.flatnonzero(places >= 1 << BITS)]))
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 12, step: float = 0.1, decay: float = 1e-4, size: int = 256) -> np.ndarray:
     """Weights (the last is the constant) of a logistic scorer for soft labels, by Adagrad."""
     w = np.zeros((1 << BITS) + SHAPES * 10 + 1)
@@ -144,15 +155,21 @@ def label_and_score(docs: DataFrame, sample: int = 8_000) -> DataFrame:
     good = posteriors(codes, np.array([r["n"] for r in patterns], float), labellers)
     posterior = dict(zip(codes.tolist(), good.tolist()))
 
-    drawn = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_drawn")).distinct()
+    drawn = voted.select(F.col("doc_id").alias("drawn")).distinct().orderBy(F.xxhash64("drawn"), "drawn").limit(sample)
 
     def featurise(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            made = [(features(*shape(t)), code_of(votes(shape(t)[1]))) for t in raw_texts(batch.column(0))]
-            yield [p for (p, _), _ in made], [v for (_, v), _ in made], [c for _, c in made]
+            made = []
+            for text in raw_texts(batch.column(0)):
+                words, s = shape(text)
+                places, values = features(words, s)
+                keep = _learnt(places)
+                made.append((places[keep], values[keep], code_of(votes(s))))
+            yield [m[0] for m in made], [m[1] for m in made], [m[2] for m in made]
 
-    # At most ``sample`` rows: small enough for every executor; their hashed words are at most 2 ** BITS each.
-    rows = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("_drawn")).select("text")
+    # ``sample`` rows of distinct ids, each of at most LEARNT words: small enough for every executor and for the driver.
+    rows = narrow.join(F.broadcast(drawn), F.col("doc_id") == F.col("drawn")).groupBy("doc_id").agg(
+        F.min(F.struct(F.sha2("text", 256).alias("digest"), "text")).alias("one")).select("one.text")
     table = each_batch(rows, featurise, "places array<int>, values array<double>, code long").orderBy("code", F.xxhash64("places")).collect()
     weights = fit([(np.array(r["places"], np.int64), np.array(r["values"])) for r in table], np.array([posterior[r["code"]] for r in table]))
     sent = spark.sparkContext.broadcast((weights, posterior))  # 2 ** BITS weights

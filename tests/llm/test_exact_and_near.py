@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 from corpus import frame, rows, texts  # noqa: E402
 
-from shelfmark.llm import exact, golay  # noqa: E402
+from shelfmark.llm import exact, golay, mixing, toxicity, weak  # noqa: E402
 
 
 def lower(text):
@@ -51,10 +51,70 @@ def test_exact_state_goes_on_between_arrivals_and_batches(spark):
     data = rows()
     seen = exact.Seen(spark, files_per_batch=1)
     for part in (data[:50], data[50:90]):
-        exact.decide(exact.with_locator(frame(spark, part)), seen)
-    last = exact.decide(exact.with_locator(frame(spark, data[90:])), seen)
-    got = sorted([(r["id"], r["keep_id"], r["group_size"]) for r in last.collect()], key=repr)
-    assert got == sorted([(r[0], r[1], r[2]) for r in expected_groups(data)], key=repr)
+        exact.decide(seen.located(frame(spark, part)), seen)
+    last = exact.decide(seen.located(frame(spark, data[90:])), seen)
+    assert sorted([(r["id"], r["keep_id"], r["group_size"]) for r in last.collect()], key=repr) == of_rows(data[90:], data)
+
+
+def of_rows(part, data):
+    """(id, keep_id, group_size) for each row of ``part`` among all of ``data``."""
+    groups = {}
+    for r in data:
+        groups.setdefault(lower(r[1]), []).append(r[0])
+    best = lambda ids: max(ids, key=lambda i: (i is not None, i))
+    return sorted(((r[0], best(groups[lower(r[1])]), len(groups[lower(r[1])])) for r in part), key=repr)
+
+
+def test_texts_of_earlier_calls_count_when_digests_collide(spark):
+    one = lambda text: F.unhex(F.lit("00"))
+    seen = exact.Seen(spark, digest=one)
+    for first, values in ((0, ["x", "y", "x"]), (10, ["x", "z"]), (5, ["Z", "y", "w"])):
+        part = [(first + i, v, "en", "a", 1, 0.0, 0, "", "", 0) for i, v in enumerate(values)]
+        data = [*(data if first else []), *part]
+        got = exact.decide(seen.located(frame(spark, part)), seen)
+        assert sorted([(r["id"], r["keep_id"], r["group_size"]) for r in got.collect()], key=repr) == of_rows(part, data)
+
+
+def test_a_named_arrival_counts_once(spark, tmp_path):
+    frame(spark, rows()[:40]).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    options = {"folder": str(tmp_path / "seen"), "batch": "monday"}
+    first = sorted(map(tuple, exact.exact_groups(docs, **options).collect()), key=repr)
+    assert sorted(map(tuple, exact.exact_groups(docs, **options).collect()), key=repr) == first == expected_groups(rows()[:40])
+
+
+CLASHES = ("_file", "_row", "_all", "body", "digest", "_gone", "__gone", "_size", "_copies", "_copy", "_position", "_at", "_part", "_source", "_target", "size",
+           "row", "copies", "_drawn", "drawn", "labelled", "y", "_salt", "_hot", "position")
+
+
+def clashing(spark):
+    """Rows that have columns of all the names that operators use."""
+    base = frame(spark).select("doc_id", "text", "lang", "source")
+    return base.select("*", *[F.lit(70 + i).alias(name) for i, name in enumerate(CLASHES)])
+
+
+def test_names_that_clash(spark):
+    docs = clashing(spark)
+    told = {name: 70 + i for i, name in enumerate(CLASHES)}
+    for kept in (exact.distinct_texts(docs), golay.one_of_each(docs), mixing.mixed(docs)):
+        assert kept.columns == docs.columns
+        found = kept.collect()
+        assert found and all(r[name] == value for r in found for name, value in told.items())
+    got = sorted((tuple(r) for r in exact.exact_groups(docs).collect()), key=repr)
+    assert got == expected_groups(rows())
+    assert weak.label_and_score(docs).count() == toxicity.scores(docs, toxicity.train(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int"))).count() == len(rows())
+
+
+def test_rows_with_one_id_are_learnt_from_once(spark, monkeypatch):
+    many = frame(spark, [(7, f"word{i} other", "en", "a", 1, 0.0, 0, "", "", 0) for i in range(300)] + rows()[:60])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    sizes = []
+    monkeypatch.setattr(toxicity, "_descend", lambda table, y, place, fit: sizes.append(len(table)) or toxicity.Machine(place, 0.0, np.zeros(fit.terms + 1), np.zeros((fit.terms + 1, fit.factors))))
+    fits = []
+    monkeypatch.setattr(weak, "fit", lambda table, y: fits.append([len(p) for p, _ in table]) or np.zeros((1 << weak.BITS) + weak.SHAPES * 10 + 1))
+    toxicity.train(many, labels, toxicity.Fit(rows=20, least=0.0))
+    weak.label_and_score(many, sample=20).count()
+    assert sizes == [20] and [len(f) for f in fits] == [20]
 
 
 def test_distinct_texts_keep_columns_and_one_row_a_text(spark):
