@@ -23,9 +23,13 @@ def _live(lib):
     return lib.collections.filter("kind <> 'unassigned' and not is_archived")
 
 
+def label_rows(lib):
+    """(item_id, labels<identifier, confidence>) of the receipts."""
+    return lb.filter_labels(label_candidates(lib)).select((F.lit(RECEIPT_ID) + F.col("item_id")).alias("item_id"), F.col("filtered").alias("labels"))
+
+
 def _label_rows(lib):
-    kept = lb.filter_labels(label_candidates(lib)).select((F.lit(RECEIPT_ID) + F.col("item_id")).alias("item_id"), "filtered")
-    return kept.select("item_id", F.col("filtered.identifier").alias("labels"))
+    return label_rows(lib).select("item_id", F.col("labels.identifier").alias("labels"))
 
 
 def members(lib):

