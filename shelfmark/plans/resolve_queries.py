@@ -13,6 +13,7 @@ from shelfmark.plans.enrich_queries import LABEL_VIEWS, SOURCE_VIEWS, facet_rows
 from shelfmark.plans.group_queries import TITLE_VIEWS, label_rows
 from shelfmark.plans.membership_queries import _PROFILE
 from shelfmark.plans.registry import query
+from shelfmark.session import landed
 
 N = duck.normalize_title
 DENIED = duck.inside(duck.GENERIC)
@@ -130,8 +131,8 @@ def _known(lib):
         none = F.array().cast("array<struct<identifier:string,confidence:float>>")
         items = items.withColumn("labels", F.coalesce("labels", none))
         contexts = eligible(lib).filter("kind <> 'unassigned'").select("collection_id", "title", "key_entities", "visual_descriptors")
-        sized = items.select("item_id", "created_at", F.length(tx.clean_text(F.col("ocr_text"))).alias("n"))
-        return un.understand(items.drop("created_at"), contexts, SEEDS, RULES).join(sized, "item_id")
+        sized = lib.items.select("item_id", "created_at", F.length(tx.clean_text(F.col("ocr_text"))).alias("n"))
+        return un.understand(items.drop("created_at"), contexts, SEEDS, RULES, lambda base: landed(base, "cleaned")).join(sized, "item_id")
     return lib.shared("understood", build)
 
 
@@ -141,6 +142,11 @@ def understood(lib):
     return _known(lib).select("*", F.when(n.between(900, 1200), F.lit(0.8)).alias("shared_confidence"), F.when(n > 2500, 3).otherwise(1).alias("batch_size"))
 
 
+def prepared(lib):
+    """The item side of all resolver steps, written once."""
+    return lib.shared("prepared", lambda: op.prepare_items(understood(lib)))
+
+
 def eligible(lib):
     """The eligible view, written once: profiles read member texts."""
 
@@ -179,38 +185,38 @@ def best_match(lib):
 
 @query("rs3_match_per_item", "select item_id, src, collection_id from v_ask left join v_best_match using (tkey)", VIEWS)
 def match_per_item(lib):
-    items = op.prepare_items(understood(lib))
+    items = prepared(lib)
     return op.score_candidates(items, eligible(lib), lib.aliases).filter("src_rank < 2").select("item_id", F.col("src_rank").alias("src"), "collection_id")
 
 
 @query("rs2_candidates", "select item_id, src, title, collection_id, final from v_final where src < 9", VIEWS)
 def candidates(lib):
-    items = op.prepare_items(understood(lib))
+    items = prepared(lib)
     return op.score_candidates(items, eligible(lib), lib.aliases).select("item_id", F.col("src_rank").alias("src"), "title", "collection_id", "final")
 
 
 @query("rs4_entity_overlap", """select item_id, collection_id, round(least(1.0, len(list_intersect(vtok, prof))::double / least(6, len(prof))), 6) as overlap
   from v_item join v_coll on len(prof) > 0 and list_has_any(vtok, prof) where len(list_intersect(vtok, prof)) >= 0.45 * least(6, len(prof)) - 1e-9""", VIEWS)
 def entity_overlap(lib):
-    items = op.prepare_items(understood(lib))
+    items = prepared(lib)
     return op.overlapping(items, "value_tokens", op.collection_tokens(op.auto_eligible(eligible(lib))), "profile_tokens", 0.45, 6)
 
 
 @query("rs5_text_visual", "select item_id, round(tv::double, 6) as agreement, round(batch::double, 6) as batch from v_item", VIEWS)
 def text_visual(lib):
-    return op.prepare_items(understood(lib)).select("item_id", F.round("text_visual", 6).alias("agreement"), F.round("batch", 6).alias("batch"))
+    return prepared(lib).select("item_id", F.round("text_visual", 6).alias("agreement"), F.round("batch", 6).alias("batch"))
 
 
 @query("rs6_confidence", "select item_id, max(final) as best, count(*) as candidates from v_final where src < 9 group by 1", VIEWS)
 def confidence(lib):
-    items = op.prepare_items(understood(lib))
+    items = prepared(lib)
     return op.score_candidates(items, eligible(lib), lib.aliases).groupBy("item_id").agg(
         F.max("final").alias("best"), F.count(F.lit(1)).alias("candidates"))
 
 
 @query("rs7_corroboration", "select item_id, corr from v_case where pt is not null", VIEWS)
 def corroboration(lib):
-    rows = op.prepare_items(understood(lib)).filter("proposed is not null")
+    rows = prepared(lib).filter("proposed is not null")
     c = F.col
     return rows.select("item_id", op.create_corroborated(c("batch_size"), c("shared_confidence"), c("entities"), c("locations"), c("type_facets"),
                                                          c("proposed.title"), c("proposed.confidence"), c("text_visual")).alias("corr"))
@@ -220,7 +226,7 @@ def corroboration(lib):
   case kase when 'match' then best_id when 'proposed' then existing end as collection_id,
   case when kase = 'proposed' then reuse_final when kase in ('create', 'alone', 'middle') then create_final else best_final end as confidence, kase as kind from v_case""", VIEWS)
 def decisions(lib):
-    rows = op.resolve(understood(lib), eligible(lib), lib.aliases)
+    rows = op.decide(prepared(lib), eligible(lib), lib.aliases)
     reason = F.col("reason")
     kind = (F.when(reason.startswith("No candidates"), "empty").when(reason.startswith("Best"), "low").when(reason.contains("for proposed title"), "proposed")
             .when(reason.startswith("Reuse"), "match").when(reason.startswith("Create confidence"), "alone").when(reason.startswith("Create"), "create")
@@ -316,7 +322,7 @@ def field_rules(lib):
 def batch(lib):
     rows = lib.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set(F.col("turn").cast("string"))).alias("ids"), F.count(F.lit(1)).alias("n"))
     n, ids = F.col("n"), F.col("ids")
-    returned = F.when(n > 5, F.slice(ids, 2, 100)).when(n == 5, F.concat(ids, F.array(ids[0]))).otherwise(ids)
+    returned = F.when(n > 5, F.slice(ids, F.lit(2), F.size(ids))).when(n == 5, F.concat(ids, F.array(ids[0]))).otherwise(ids)
     shared = F.when(n == 4, F.array(F.lit("x"))).otherwise(F.array(ids[0]))
     return rows.select("conv_id", va.batch_issue(ids, returned, shared, F.when(n == 3, F.array(ids[0]))).alias("problem"))
 
