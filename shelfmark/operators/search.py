@@ -161,20 +161,27 @@ FIELD_WEIGHTS = {"ocr": 1.0, "entity": 0.95, "collection": 0.9, "label": 0.85, "
 
 
 def weighted_search(
-    docs: DataFrame, queries: DataFrame, as_of: Column, old_days: int = 150, limit: int | None = None,
+    docs: DataFrame, queries: DataFrame, as_of: Column, old_days: int = 150, limit: int = vocab.SEARCH_LIMIT,
 ) -> DataFrame:
-    """Score items over several text fields.
+    """The ``limit`` best items of each query, scored over several text fields.
 
     ``docs(item_id, created_at, ocr, summary, entity, collection, label, keyword)``: the last four are
     arrays.  Every field word lists its substrings up to the longest token, so containment of a token is
     an equi-join.  Labels match in either direction.  Coverage and the phrase bonus come afterwards, for
     items with a hit only.
+
+    An age word also matches every older item.  Items with a further hit get its points as they are scored.  Those
+    without one all score alike and below older items with a hit, so the newest ``limit`` older items are the only
+    ones that can be listed: queries with an age word meet these, never all older items.  Equal scores go to the
+    newer item, then to the lower id.
     """
     split = queries.select("query_id", F.filter(
         F.split(F.lower(F.col("query")), tx.WORD_BREAK), lambda t: t != "").alias("all"))
-    tokens = split.select("query_id", F.size("all").alias("tokens"), F.array_join("all", " ").alias("phrase"),
-                          F.posexplode("all").alias("position", "raw"))
-    tokens = tokens.withColumn("token", folded(F.col("raw"))).withColumn("phrase", folded(F.col("phrase")))
+    aged = F.col("raw").isin("old", "older")
+    split = split.select("query_id", "all", F.size("all").alias("tokens"), folded(F.array_join("all", " ")).alias("phrase"),
+                         F.size(F.filter("all", lambda t: t.isin("old", "older"))).alias("age_words"))
+    tokens = split.select("query_id", "tokens", "phrase", "age_words", F.explode("all").alias("raw"))
+    tokens = tokens.withColumn("token", folded(F.col("raw")))
     fields = F.array(*[
         F.struct(F.lit(name).alias("field"), (F.col(name) if name in ("ocr", "summary")
                  else F.array_join(F.col(name), " ")).alias("content")) for name in FIELD_WEIGHTS])
@@ -190,28 +197,28 @@ def weighted_search(
     around = containing_words(distinct.select(F.col("token").alias("word")), labels.select(F.col("word").alias("token")).distinct())
     reverse = labels.join(around.select(F.col("word").alias("token"), F.col("token").alias("word")), "word").select(
         "item_id", "field", "token")
-    # Age words match every item older than the cut-off, besides any text hit.
-    age = docs.filter(F.col("created_at") < as_of - F.make_interval(days=F.lit(old_days))).select(
-        "item_id", F.lit("age").alias("field"), F.explode(tx.literals(("old", "older"))).alias("token"))
-    best = hits.unionByName(reverse).unionByName(age).distinct()
-    weight = F.lit(0.0)
-    for name, value in {**FIELD_WEIGHTS, "age": 0.4}.items():
-        weight = F.when(F.col("field") == name, value).otherwise(weight)
-    per_token = best.withColumn("points", weight).groupBy("item_id", "token").agg(F.sum("points").alias("points"))
-    merged = per_token.join(tokens, "token")
-    total = merged.groupBy("query_id", "item_id", "tokens", "phrase").agg(
-        F.sum("points").alias("sum_points"), F.count(F.lit(1)).alias("matched"))
-    coverage = F.when(F.col("tokens") > 1, 0.55 + 0.45 * F.col("matched") / F.col("tokens")).otherwise(1.0)
+    weight = F.lit(0)
+    for name, value in FIELD_WEIGHTS.items():
+        weight = F.when(F.col("field") == name, round(100 * value)).otherwise(weight)  # hundredths add up the same in any order
+    per_token = hits.unionByName(reverse).distinct().groupBy("item_id", "token").agg(F.sum(weight).alias("points"))
+    found = per_token.join(tokens, "token").select(
+        "query_id", "item_id", "tokens", "phrase", "age_words", "points", F.lit(1).alias("hit"), aged.cast("int").alias("age_hit"))
+    is_old = F.coalesce(F.col("created_at") < as_of - F.make_interval(days=F.lit(old_days)), F.lit(False))
+    newest_old = docs.filter(is_old).select("item_id", "created_at").orderBy(F.desc("created_at"), F.asc("item_id")).limit(limit).select("item_id")
+    by_age = split.filter("age_words > 0").crossJoin(F.broadcast(newest_old)).select(  # at most `limit` ids
+        "query_id", "item_id", "tokens", "phrase", "age_words", *[F.lit(0).alias(c) for c in ("points", "hit", "age_hit")])
+    total = found.unionByName(by_age).groupBy("query_id", "item_id", "tokens", "phrase", "age_words").agg(
+        *[F.sum(c).alias(c) for c in ("points", "hit", "age_hit")])
     haystack = folded(F.concat_ws(" ", "ocr", "summary", F.array_join("entity", " "), F.array_join("keyword", " "),
                                   F.array_join("label", " "), F.array_join("collection", " ")))
-    texts = docs.select("item_id", "created_at", haystack.alias("haystack"))
+    texts = docs.select("item_id", "created_at", is_old.alias("old"), haystack.alias("haystack"))
+    scored = total.join(texts, "item_id").select(
+        "*", (F.col("points") + F.when(F.col("old"), 40 * F.col("age_words")).otherwise(0)).alias("sum_points"),
+        (F.col("hit") + F.when(F.col("old"), F.col("age_words") - F.col("age_hit")).otherwise(0)).alias("matched"))
+    coverage = F.when(F.col("tokens") > 1, 0.55 + 0.45 * F.col("matched") / F.col("tokens")).otherwise(1.0)
     bonus = F.when((F.length("phrase") > 2) & F.contains("haystack", F.col("phrase")), 0.55).otherwise(0.0)
-    out = total.join(texts, "item_id").select(
-        "query_id", "item_id", "created_at", "matched",
-        (F.col("sum_points") * coverage + bonus).alias("score"))
-    if limit is None:
-        return out
-    return top_k(out, ["query_id"], [F.desc("score"), F.desc("created_at"), F.asc("item_id")], limit)
+    out = scored.select("query_id", "item_id", "created_at", "matched", (F.col("sum_points") / 100.0 * coverage + bonus).alias("score"))
+    return top_k(out, ["query_id"], [F.desc("score"), F.col("created_at").desc_nulls_last(), F.asc("item_id")], limit)
 
 
 def containing_words(words: DataFrame, tokens: DataFrame) -> DataFrame:

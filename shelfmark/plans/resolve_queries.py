@@ -327,11 +327,17 @@ def batch(lib):
     return rows.select("conv_id", va.batch_issue(ids, returned, shared, F.when(n == 3, F.array(ids[0]))).alias("problem"))
 
 
-@query("st3_member_sets", """select conv_id, n - 1 as missing, true as overlap from (select conv_id, count(*) as n from conversations group by 1)""")
+@query("st3_member_sets", """with w as (select distinct conv_id, role, unnest(string_split(text, ' ')) as word from conversations),
+    s as (select conv_id, word, bool_or(role = 'user') as asked, bool_or(role = 'assistant') as told from w group by 1, 2)
+  select conv_id, count(*) filter (asked and not told) as missing, count(*) filter (told and not asked) as unknown, bool_or(asked and told) as overlap,
+    count(*) filter (not asked and told) = 0 and count(*) filter (asked and not told) = 0 as same from s group by 1""")
 def member_sets(lib):
-    rows = lib.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("turn")).alias("ids"))
-    first = F.slice("ids", 1, 1)
-    return rows.select("conv_id", F.size(F.array_except("ids", first)).cast("bigint").alias("missing"), F.arrays_overlap("ids", first).alias("overlap"))
+    """The words a user used against those of the answers, as expected against returned members."""
+    words = lambda role: F.array_distinct(F.flatten(F.collect_set(F.when(F.col("role") == role, F.split("text", " ", -1)))))
+    rows = lib.table("conversations").filter(F.col("text").isNotNull()).groupBy("conv_id").agg(words("user").alias("asked"), words("assistant").alias("told"))
+    missing, unknown = F.size(F.array_except("asked", "told")), F.size(F.array_except("told", "asked"))
+    return rows.select("conv_id", missing.cast("bigint").alias("missing"), unknown.cast("bigint").alias("unknown"),
+                       F.arrays_overlap("asked", "told").alias("overlap"), ((missing == 0) & (unknown == 0)).alias("same"))
 
 
 @query("dq5_request_gates", """select conv_id, case when r = 'system' then 'SCHEMA_VERSION_MISMATCH' when n > 8 then 'BATCH_TOO_LARGE' when n in (3, 6) then 'REQUEST_INVALID'
