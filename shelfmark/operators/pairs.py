@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark import vocab
 from shelfmark.functions import text as tx, values as vx
-from shelfmark.functions.binding import let_all
 from shelfmark.operators.ranking import group_row_number, top_k
 from shelfmark.operators.source import correlated_channels
 
@@ -66,92 +65,124 @@ def peer_pairs(features: DataFrame, size: int = vocab.POOL_SIZE) -> DataFrame:
     return seeds.join(peers, ["pool_key", "block"]).filter(near)
 
 
-def _shared(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b))
+# Sets of many values: 64 bits are too few to tell most pairs apart, so these carry a number for each value.
+LARGE = ("phrases", "long_words")
 
 
-def entity_tiers(a: Column, b: Column) -> tuple[Column, Column]:
-    """High and medium entity matches between two feature structs."""
-    high, medium = F.lit(0), F.lit(0)
-    for name in ("refs_0", "refs_1", "refs_2", "flights", "hosts", "phrases"):
-        high = high + F.arrays_overlap(a[name], b[name]).cast("int")
-    codes = _shared(a["codes"], b["codes"])
-    high = high + (codes >= 2).cast("int")
-    medium = medium + (codes == 1).cast("int") + _shared(a["alnum"], b["alnum"])
-    return high, medium + F.arrays_overlap(a["long_words"], b["long_words"]).cast("int")
+def _signature(values: Column) -> Column:
+    """64 bits, one set for each value's hash: sets without a common bit have no common value."""
+    bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(v), F.lit(64)).cast("int"))
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda bits, v: bits.bitwiseOR(bit(v)))
+
 
+def signed(features: DataFrame) -> DataFrame:
+    """Features as pairs are scored from them, worked out once per item: all sets in one column, and what tells most pairs of
+    sets apart without their strings, hashes of large sets and signatures of the others.
 
-def pair_score(a: Column, b: Column, bands: tuple[float, float, float] = (vocab.VECTOR_STRONG, vocab.VECTOR_WEAK, vocab.VECTOR_FAR)) -> Column:
-    """``struct(total, contextual, families, parts…)`` for two feature structs, as one expression."""
-    high, medium = entity_tiers(a, b)
-    both_tokens = (F.size(a["tokens"]) > 0) & (F.size(b["tokens"]) > 0)
+    Few columns matter: a join of two rows with a column for each set is too much code for the virtual machine to compile.
+    """
     travel, home = tx.literals(vocab.TRAVEL_FACETS), tx.literals(vocab.HOME_FACETS)
-    both = lambda field, wanted: F.arrays_overlap(a[field], wanted) & F.arrays_overlap(b[field], wanted)
-    equal = lambda field: (a[field] == b[field]) & (a[field] != vocab.UNKNOWN) & (a[field] != "")
-    facts = {
-        "hours": vx.hours_between(a["created_at"], b["created_at"]),
-        "shared_tokens": F.array_intersect(a["tokens"], b["tokens"]), "high": high, "medium": medium,
-        "shared_labels": _shared(a["labels"], b["labels"]), "same_facets": _shared(a["facets"], b["facets"]),
-        "travel": both("facets", travel), "home": both("facets", home), "weak": _shared(a["weak_facets"], b["weak_facets"]),
-        "distance": F.when(a["vector"].isNotNull() & b["vector"].isNotNull(), vx.l2_distance(a["vector"], b["vector"])),
-        "same_platform": equal("platform"), "same_type": equal("content_type"), "same_family": equal("family"),
-        "titles": F.arrays_overlap(a["profile_titles"], b["profile_titles"]), "mutual": F.least(a["profile_score"], b["profile_score"]),
-    }
+    no_strings = F.array().cast("array<string>")
+    return features.select(
+        "item_id", "pool_key", "created_at", "sparse", "platform", "content_type", "family", "profile_score", "vector",
+        F.arrays_overlap("facets", travel).alias("travels"), F.arrays_overlap("facets", home).alias("homely"),
+        F.array(*[F.coalesce(F.col(name), no_strings) for name in SETS]).alias("sets"),
+        F.array(*[F.coalesce(_signature(F.col(name)), F.lit(0)) for name in SETS if name not in LARGE]).alias("bits"),
+        F.array(*[F.transform(F.coalesce(F.col(name), no_strings), lambda v: F.xxhash64(v)) for name in LARGE]).alias("codes"))
+
+
+def _set(side: Column, name: str) -> Column:
+    return side["sets"][SETS.index(name)]
+
+
+def _meet(a: Column, b: Column, name: str) -> Column:
+    """False only where the sets have no common value; true has to be tested on the values."""
+    if name in LARGE:
+        at = LARGE.index(name)
+        return F.arrays_overlap(a["codes"][at], b["codes"][at])
+    at = [n for n in SETS if n not in LARGE].index(name)
+    return a["bits"][at].bitwiseAND(b["bits"][at]) != 0
+
+
+def _shared(a: Column, b: Column, name: str) -> Column:
+    return F.when(_meet(a, b, name), F.size(F.array_intersect(_set(a, name), _set(b, name)))).otherwise(0)
 
-    def parts(fact):
-        n = F.size(fact("shared_tokens"))
-        jaccard = F.when(both_tokens, n / (F.size(a["tokens"]) + F.size(b["tokens"]) - n)).otherwise(0.0)
-        labels = fact("shared_labels") / F.greatest(F.lit(1), F.size(a["labels"]) + F.size(b["labels"]) - fact("shared_labels"))
-        strong, weak, far = bands
-        d = fact("distance")
-        bridge = F.when(fact("travel"), 0.14).when(fact("home"), 0.12).otherwise(0.0)
-        return let_all({
-            "jaccard": jaccard, "time": F.coalesce(vx.time_band(fact("hours")), F.lit(0.0)), "ocr_tokens": 0.24 * jaccard,
-            "ocr_entities": F.when(fact("high") > 0, F.least(F.lit(0.28), 0.16 * fact("high") + 0.08 * fact("medium")))
-            .when(fact("medium") > 0, F.least(F.lit(0.14), 0.08 * fact("medium"))).otherwise(0.0),
-            "vision": F.least(F.lit(0.10), 0.08 * labels),
-            "feature_print": F.when(d <= strong, 0.14).when(d <= weak, 0.08).when(d <= far, 0.03).otherwise(0.0),
-            "facets": F.when(fact("same_facets") > 0, F.least(F.lit(0.14), 0.08 * fact("same_facets"))).otherwise(bridge),
-            "weak_facets": F.least(F.lit(0.04), 0.02 * fact("weak")),
-            "source_platform": F.when(fact("same_platform"), 0.04).otherwise(0.0),
-            "content_type": F.when(fact("same_type"), 0.05).otherwise(0.0),
-            "content_family": F.when(fact("same_family"), 0.04).otherwise(0.0),
-            "profile": F.when(fact("titles"), 0.10).when(fact("mutual") >= 0.4, F.least(F.lit(0.08), fact("mutual") * 0.08)).otherwise(0.0),
-        }, lambda part: families(fact, part, n))
-
-    def families(fact, part, n):
-        rare = F.exists(fact("shared_tokens"), lambda t: F.length(t) >= 6)
-        by_tokens = ((part("jaccard") >= 0.12) & (n >= 2)) | ((n >= 1) & rare & (part("jaccard") >= 0.08))
-        by_high = fact("high") > 0
-        bridged = (fact("same_facets") == 0) & (fact("travel") | fact("home"))
-        base = by_tokens | by_high | bridged
-        names = F.array_compact(F.array(
-            F.when(by_tokens, F.lit("ocr_tokens")), F.when(by_high, F.lit("ocr_entities_h")),
-            F.when(bridged, F.when(fact("travel"), F.lit("facet_bridge_travel")).otherwise(F.lit("facet_bridge_home"))),
-            F.when(base & (part("profile") > 0), F.lit("profile_with_context")),
-            F.when(base & ~by_high & (fact("medium") > 0), F.lit("ocr_entities_m")),
-            F.when(base & fact("same_platform"), F.lit("source_with_context")),
-            F.when(base & fact("same_type"), F.lit("type_with_context")),
-            F.when(base & fact("same_family"), F.lit("family_with_context"))))
-        total = F.lit(0.0)
-        for name in PARTS:
-            total = total + part(name)
-        return F.struct(
-            F.round(F.least(F.lit(1.0), total), 6).alias("total"), base.alias("contextual"), names.alias("families"),
-            F.array(*[F.round(part(p), 6) for p in PARTS]).alias("parts"))
-
-    return let_all(facts, parts)
+
+def _overlap(a: Column, b: Column, name: str) -> Column:
+    return _meet(a, b, name) & F.arrays_overlap(_set(a, name), _set(b, name))
+
+
+def _entity_facts(a: Column, b: Column) -> dict[str, Column]:
+    high = F.lit(0)
+    for name in ("refs_0", "refs_1", "refs_2", "flights", "hosts", "phrases"):
+        high = high + _overlap(a, b, name).cast("int")
+    return {"high_refs": high, "codes": _shared(a, b, "codes"), "low_refs": _shared(a, b, "alnum") + _overlap(a, b, "long_words").cast("int")}
+
+
+def _tiers() -> dict[str, Column]:
+    return {"high": F.col("high_refs") + (F.col("codes") >= 2).cast("int"), "medium": F.col("low_refs") + (F.col("codes") == 1).cast("int")}
+
+
+def entity_tiers(pairs: DataFrame) -> DataFrame:
+    """Add the numbers of ``high`` and ``medium`` entity matches to pairs ``(a, b)`` of signed features."""
+    return pairs.withColumns(_entity_facts(F.col("a"), F.col("b"))).withColumns(_tiers()).drop("high_refs", "codes", "low_refs")
 
 
 def score_pairs(features: DataFrame, size: int = vocab.POOL_SIZE, bands=(vocab.VECTOR_STRONG, vocab.VECTOR_WEAK, vocab.VECTOR_FAR)) -> DataFrame:
-    """The pair table: one scored row per (seed, peer), reused by every grouping step.
+    """The pair table: one scored row per (seed, peer), reused by every grouping step; land it before filtering it.
 
-    ``parts`` holds the signal values in the order of ``PARTS``.
+    ``parts`` holds the signal values in the order of ``PARTS``.  What two items share is worked out first, as plain columns
+    that later steps only refer to; so all of it stays in generated code and every set is compared once.
     """
-    pairs = peer_pairs(features, size).withColumn("s", pair_score(F.col("a"), F.col("b"), bands))
-    return pairs.select(
-        "pool_key", "block", "seed_rank", "peer_rank", F.col("a.item_id").alias("seed_id"), F.col("b.item_id").alias("peer_id"),
-        F.col("b.sparse").alias("peer_sparse"), "s.total", "s.contextual", "s.families", "s.parts")
+    a, b = F.col("a"), F.col("b")
+    equal = lambda field: F.coalesce((a[field] == b[field]) & (a[field] != vocab.UNKNOWN) & (a[field] != ""), F.lit(False))
+    c = F.col
+    facts = {
+        **_entity_facts(a, b), "hours": vx.hours_between(a["created_at"], b["created_at"]),
+        "common": F.when(_meet(a, b, "tokens"), F.array_intersect(_set(a, "tokens"), _set(b, "tokens"))).otherwise(F.array().cast("array<string>")),
+        "all_tokens": F.when((F.size(_set(a, "tokens")) > 0) & (F.size(_set(b, "tokens")) > 0), F.size(_set(a, "tokens")) + F.size(_set(b, "tokens"))),
+        "labels": _shared(a, b, "labels"), "all_labels": F.size(_set(a, "labels")) + F.size(_set(b, "labels")), "same_facets": _shared(a, b, "facets"),
+        "travel": a["travels"] & b["travels"], "home": a["homely"] & b["homely"], "weak": _shared(a, b, "weak_facets"),
+        "distance": F.when(a["vector"].isNotNull() & b["vector"].isNotNull(), vx.l2_distance(a["vector"], b["vector"])),
+        "same_platform": equal("platform"), "same_type": equal("content_type"), "same_family": equal("family"),
+        "titles": _overlap(a, b, "profile_titles"), "mutual": F.least(a["profile_score"], b["profile_score"]),
+    }
+    keys = ["pool_key", "block", "seed_rank", "peer_rank", "seed_id", "peer_id", "peer_sparse"]
+    pairs = peer_pairs(signed(features), size).select(
+        *keys[:4], a["item_id"].alias("seed_id"), b["item_id"].alias("peer_id"), b["sparse"].alias("peer_sparse"), *[v.alias(k) for k, v in facts.items()])
+    counted = pairs.withColumns(_tiers()).withColumns({"n": F.size("common"), "rare": F.exists("common", lambda t: F.length(t) >= 6)})
+    counted = counted.withColumn("jaccard", F.coalesce(c("n") / (c("all_tokens") - c("n")), F.lit(0.0)))
+    strong, weak, far = bands
+    bridge = F.when(c("travel"), 0.14).when(c("home"), 0.12).otherwise(0.0)
+    parts = {
+        "time": F.coalesce(vx.time_band(c("hours")), F.lit(0.0)), "ocr_tokens": 0.24 * c("jaccard"),
+        "ocr_entities": F.when(c("high") > 0, F.least(F.lit(0.28), 0.16 * c("high") + 0.08 * c("medium")))
+        .when(c("medium") > 0, F.least(F.lit(0.14), 0.08 * c("medium"))).otherwise(0.0),
+        "vision": F.least(F.lit(0.10), 0.08 * (c("labels") / F.greatest(F.lit(1), c("all_labels") - c("labels")))),
+        "feature_print": F.when(c("distance") <= strong, 0.14).when(c("distance") <= weak, 0.08).when(c("distance") <= far, 0.03).otherwise(0.0),
+        "facets": F.when(c("same_facets") > 0, F.least(F.lit(0.14), 0.08 * c("same_facets"))).otherwise(bridge),
+        "weak_facets": F.least(F.lit(0.04), 0.02 * c("weak")),
+        "source_platform": F.when(c("same_platform"), 0.04).otherwise(0.0),
+        "content_type": F.when(c("same_type"), 0.05).otherwise(0.0),
+        "content_family": F.when(c("same_family"), 0.04).otherwise(0.0),
+        "profile": F.when(c("titles"), 0.10).when(c("mutual") >= 0.4, F.least(F.lit(0.08), c("mutual") * 0.08)).otherwise(0.0),
+    }
+    by_tokens = ((c("jaccard") >= 0.12) & (c("n") >= 2)) | ((c("n") >= 1) & c("rare") & (c("jaccard") >= 0.08))
+    scored = counted.withColumns({f"p_{name}": value for name, value in parts.items()}).withColumns({
+        "by_tokens": by_tokens, "by_high": c("high") > 0, "bridged": (c("same_facets") == 0) & (c("travel") | c("home"))})
+    scored = scored.withColumn("contextual", c("by_tokens") | c("by_high") | c("bridged"))
+    base = c("contextual")
+    named = {
+        "ocr_tokens": c("by_tokens"), "ocr_entities_h": c("by_high"), "facet_bridge_travel": c("bridged") & c("travel"), "facet_bridge_home": c("bridged") & ~c("travel"),
+        "profile_with_context": base & (c("p_profile") > 0), "ocr_entities_m": base & ~c("by_high") & (c("medium") > 0),
+        "source_with_context": base & c("same_platform"), "type_with_context": base & c("same_type"), "family_with_context": base & c("same_family")}
+    total = F.lit(0.0)
+    for name in PARTS:
+        total = total + c(f"p_{name}")
+    return scored.select(
+        *keys, F.round(F.least(F.lit(1.0), total), 6).alias("total"), base.alias("contextual"),
+        F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in named.items()])).alias("families"),
+        F.array(*[F.round(c(f"p_{name}"), 6) for name in PARTS]).alias("parts"))
 
 
 def parts_map(parts: Column) -> Column:

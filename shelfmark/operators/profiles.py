@@ -10,13 +10,13 @@ from shelfmark.operators.search import containing_words
 
 
 def contained_tokens(texts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``(item_id, token)`` where ``texts(item_id, low)`` contains a token of ``tokens(token)`` without blanks.
+    """``(item_id, token)`` where ``texts(item_id, low)`` contains a token of ``tokens(token)`` without blanks, of three letters or more.
 
     Texts are cut at blanks into distinct pieces, tokens are looked up in the distinct pieces of all texts,
     and the finds are joined back.  No text ever meets a title directly.
     """
     pieces = texts.select("item_id", F.explode(F.array_distinct(F.split("low", " "))).alias("word")).filter(F.col("word") != "")
-    inside = containing_words(pieces.select("word").distinct(), tokens.select("token").distinct())
+    inside = containing_words(pieces.select("word").distinct(), tokens.select("token").distinct(), shortest=3)
     return pieces.join(inside, "word").select("item_id", "token").distinct()
 
 

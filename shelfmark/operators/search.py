@@ -221,15 +221,20 @@ def weighted_search(
     return top_k(out, ["query_id"], [F.desc("score"), F.col("created_at").desc_nulls_last(), F.asc("item_id")], limit)
 
 
-def containing_words(words: DataFrame, tokens: DataFrame) -> DataFrame:
+def containing_words(words: DataFrame, tokens: DataFrame, shortest: int = 1) -> DataFrame:
     """``(word, token)`` where the word contains the token, from distinct words and distinct tokens.
 
     Candidates share the token's first three characters (all of it when shorter) as a gram of the word;
-    the test itself then decides.  Work is linear in word length, also for very long words.
+    the test itself then decides.  ``shortest`` is the least length of a token; from 3 on a word has only grams of three.
+    A word's grams are made distinct where the word is, so only they are shuffled.
     """
-    tokens = tokens.filter(F.col("token") != "")
+    tokens = tokens.filter((F.col("token") != "") & (F.length("token") >= shortest))
     keyed = tokens.select("token", F.left("token", F.lit(3)).alias("gram"))
-    starts = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
-    grams = starts.select("word", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.length("word") - F.col("at") + 1))).alias("n"), "at")
-    grams = grams.select("word", F.substring("word", F.col("at"), F.col("n")).alias("gram")).distinct()
+    none = F.array().cast("array<string>")
+
+    def cuts(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("word") - (n - 1))
+        return F.when(F.length("word") >= n, F.transform(starts, lambda at: F.substring(F.col("word"), at, F.lit(n)))).otherwise(none)
+
+    grams = words.select("word", F.explode(F.array_distinct(F.concat(*[cuts(n) for n in range(min(3, shortest), 4)]))).alias("gram"))
     return grams.join(keyed, "gram").filter(F.contains("word", F.col("token"))).select("word", "token")

@@ -156,8 +156,8 @@ def peer_pairs(lib):
 
 @query("cp2_entity_tiers", "select seed_id, sum(high)::bigint as high, sum(medium)::bigint as medium from v_fact group by 1", PAIR_VIEWS)
 def tiers(lib):
-    high, medium = op.entity_tiers(F.col("a"), F.col("b"))
-    return op.peer_pairs(features(lib)).groupBy(F.col("a.item_id").alias("seed_id")).agg(F.sum(high).alias("high"), F.sum(medium).alias("medium"))
+    return op.entity_tiers(op.peer_pairs(op.signed(features(lib)))).groupBy(F.col("a.item_id").alias("seed_id")).agg(
+        F.sum("high").alias("high"), F.sum("medium").alias("medium"))
 
 
 @query("cp3_pair_channels", """select seed_id, count(*) as pairs, count(*) filter (st and sm) as typed from v_pair
