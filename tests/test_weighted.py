@@ -46,3 +46,13 @@ def test_weighted_search_matches_plain_loop(spark):
         for r in search.weighted_search(frame, queries, F.lit(NOW), limit=limit).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((r["item_id"], r["matched"], round(r["score"], 9)))
         assert got == {q: want for q, text_ in asked.items() if (want := _plain(docs, text_, limit))}
+
+
+def test_containing_words_match_plain_loop(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 8)))
+    words, tokens = {word() for _ in range(60)}, {word() for _ in range(60)}
+    frame = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    for shortest in (1, 2, 3):
+        got = {tuple(r) for r in search.containing_words(frame(words, "word"), frame(tokens, "token"), shortest).collect()}
+        assert got == {(w, t) for w in words for t in tokens if len(t) >= shortest and t in w}
