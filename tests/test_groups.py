@@ -122,6 +122,32 @@ def test_kernel_matches_plain_loop_on_a_hot_pool(spark):
         assert got[item] == [names[pool, m] for m in plain_group(ranks, edge, sparse, rank)]
 
 
+def test_groups_read_the_pair_table_once(spark):
+    """Every step after the first works on the arrays made from it."""
+    rows = [(i, "a", i, f"confirmation number ZX44K{i % 3} window desk", []) for i in range(60)]
+    found = features(spark, rows).checkpoint()
+    pairs = op.score_pairs(found).checkpoint()
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    assert cl.cluster_items(found, pairs.mapInArrow(count, pairs.schema)).count() == 60
+    assert read.value == pairs.count()
+
+
+def test_pairs_inside_groups_match_plain_loop(spark):
+    """Repeated members meet as often as they stand in the group."""
+    rng = random.Random(4)
+    members = [(g, rng.randrange(12)) for g in range(9) for _ in range(6)]
+    table = [(rng.randrange(12), rng.randrange(12), rng.random()) for _ in range(60)]
+    got = sorted(tuple(r) for r in op._inside(spark.createDataFrame(members, "group_id bigint, item_id bigint"),
+                                              spark.createDataFrame(table, "seed_id bigint, peer_id bigint, total double"), "total").select("group_id", "seed_id", "peer_id", "total").collect())
+    assert got == sorted((g, s, p, t) for s, p, t in table for g, a in members if a == s for h, b in members if h == g and b == p)
+
+
 def test_row_numbers_of_a_hot_group(spark):
     frame = spark.range(5000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 50).alias("k"), ((F.col("id") * 7919) % 5000).alias("v"))
     got = {(r["k"], r["v"]): r["n"] for r in group_row_number(frame, ["k"], [F.asc("v")], "n").collect()}
