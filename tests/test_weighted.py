@@ -48,6 +48,20 @@ def test_weighted_search_matches_plain_loop(spark):
         assert got == {q: want for q, text_ in asked.items() if (want := _plain(docs, text_, limit))}
 
 
+def test_weighted_search_without_limit_returns_every_match(spark):
+    """More older items than the usual limit, most without a hit: all of them match the age word."""
+    docs = [(i, NOW - dt.timedelta(days=200 + i), "red lamp" if i % 7 == 0 else "desk", "s", [], [], ["x"], []) for i in range(260)]
+    schema = "item_id bigint, created_at timestamp, ocr string, summary string, " + ", ".join(f"{f} array<string>" for f in FIELDS[2:])
+    frame = spark.createDataFrame(docs, schema)
+    queries = spark.createDataFrame([(1, "red lamp old"), (2, "lamp red"), (3, "zebra old")], "query_id bigint, query string")
+    rows = [dict(zip(("item_id", "created_at", *FIELDS), d)) for d in docs]
+    got = {}
+    for r in search.weighted_search(frame, queries, F.lit(NOW), limit=None).collect():
+        got.setdefault(r["query_id"], set()).add((r["item_id"], r["matched"], round(r["score"], 9)))
+    assert got == {q: set(_plain(rows, t, None)) for q, t in ((1, "red lamp old"), (2, "lamp red"), (3, "zebra old"))}
+    assert len(got[1]) == len(got[3]) == 260
+
+
 def test_containing_words_match_plain_loop(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 8)))
