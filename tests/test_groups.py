@@ -156,3 +156,36 @@ def test_row_numbers_of_a_hot_group(spark):
         groups.setdefault(k, []).append(v)
     for k, values in groups.items():
         assert [got[k, v] for v in sorted(values)] == list(range(1, len(values) + 1))
+
+
+def test_pair_facts_match_a_plain_loop(spark):
+    """The matrix form of a block against sets: nulls, repeats of values, vectors of other lengths, items over two blocks."""
+    rng = random.Random(5)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "deltas", "Zürich", "日本語日本語", "ab12cd", None])
+    names = [name for name in op.SETS]
+    rows = []
+    for i in range(100):
+        sets = [list(dict.fromkeys(word() for _ in range(rng.randrange(4)))) for _ in names]
+        sets = [[v for v in s if v is not None] if n not in ("labels", "facets", "weak_facets") else s for n, s in zip(names, sets)]
+        vector = rng.choice([None, [0.5, rng.random()], [rng.random(), 0.25], [1.0], []])
+        rows.append((i, rng.choice(["a", "a", "a", None]), None if i % 9 == 0 else START + dt.timedelta(minutes=i * 7), i % 2 == 0, rng.choice(["unknown", "", None, "maps"]),
+                     "unknown", "travel", rng.random(), vector, *sets))
+    frame = spark.createDataFrame(rows, "item_id bigint, pool_key string, created_at timestamp, sparse boolean, platform string, content_type string, family string, "
+                                        "profile_score double, vector array<float>, " + ", ".join(f"{n} array<string>" for n in names)).select("*")
+    found = {(r["seed_id"], r["peer_id"]): r for r in op.pair_facts(frame, 8).collect()}
+    items = {r["item_id"]: r for r in frame.collect()}
+    order = sorted((r for r in items.values() if r["pool_key"] == "a"), key=lambda r: (r["created_at"] is not None, r["created_at"] or START, r["item_id"]), reverse=True)
+    expected = [(a, b) for at, a in enumerate(order) for b in order[at + 1:at + 8]]
+    assert set(found) == {(a["item_id"], b["item_id"]) for a, b in expected}
+    for a, b in expected:
+        row, both = found[a["item_id"], b["item_id"]], lambda n: set(a[n]) & set(b[n])
+        assert (row["n"], row["rare"]) == (len(both("tokens")), any(len(t) >= 6 for t in both("tokens")))
+        assert (row["codes"], row["labels"], row["same_facets"], row["weak"]) == tuple(len(both(n)) for n in ("codes", "labels", "facets", "weak_facets"))
+        assert row["high_refs"] == sum(bool(both(n)) for n in op.HIGH_REFS) and row["low_refs"] == len(both("alnum")) + bool(both("long_words"))
+        assert row["all_tokens"] == (len(a["tokens"]) + len(b["tokens"]) if a["tokens"] and b["tokens"] else None)
+        assert row["same_platform"] == (a["platform"] == b["platform"] == "maps") and not row["same_type"] and row["same_family"]
+        timed = a["created_at"] is not None and b["created_at"] is not None
+        assert row["hours"] == (abs((a["created_at"] - b["created_at"]).total_seconds()) / 3600 if timed else None)
+        near = a["vector"] is not None and b["vector"] is not None and len(a["vector"]) == len(b["vector"])
+        assert row["distance"] == (sum((x - y) ** 2 for x, y in zip(a["vector"], b["vector"])) ** 0.5 if near else None)
+        assert row["mutual"] == min(a["profile_score"], b["profile_score"])
