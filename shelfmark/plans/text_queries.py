@@ -116,9 +116,12 @@ _NEEDLES = sorted({w for ws in vocab.FACET_CUES.values() for w in ws})
   {duck.count_words('g', vocab.FACET_CUES['lodging_words'])} as words
   from (select item_id, lower(ocr_text) as low, {duck.guarded('lower(ocr_text)', 'Z')} as g from v_items)""")
 def needles(lib):
-    low = F.lower("ocr_text")
-    return lib.items.select("item_id", tx.contains_any(low, _NEEDLES).alias("any_needle"), tx.count_contained(low, _NEEDLES).alias("needles"),
-                            tx.count_words(low, vocab.FACET_CUES["lodging_words"]).alias("words"))
+    words = vocab.FACET_CUES["lodging_words"]
+    rows = lib.items.select("item_id", F.lower("ocr_text").alias("low")).withColumn("n", tx.count_groups(F.col("low"), {"all": _NEEDLES, "words": words}))
+    known = F.col("low").isNotNull()
+    # A word that stands alone occurs, so only texts with one are cut into words.
+    return rows.select("item_id", F.when(known, F.col("n.all") > 0).alias("any_needle"), F.col("n.all").alias("needles"),
+                       F.when(known & (F.col("n.words") == 0), 0).otherwise(tx.count_words(F.col("low"), words)).alias("words"))
 
 
 @query("tx15_redact", f"""select item_id, case when c = '' then null when length(c) > 280 then c[1:277] || '…' else c end as message,

@@ -139,3 +139,22 @@ def test_source(spark):
                                         ("adoption", "adopt"), ("controll", "control"), ("sky", "sky"), ("sized", "size")])
 def test_stemmer(word, stem):
     assert porter(word) == stem
+
+
+def test_needles_are_counted_in_whole_batches(spark):
+    """Finds that run over from one text into the next, empty and null texts, needles in two groups, repeats, letters of several bytes."""
+    texts = ["check", "in check-in", None, "", "é£", "£", "ss", "sss", "to", " to ", "a" * 9, "日本"]
+    groups = {"one": ["check-in", "checkin", "kin", "to t", "£", "ss"], "two": [" to ", "£", "本", "aaa", "日本é"], "none": []}
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(1)
+    found = {r["id"]: r["n"] for r in frame.select("id", tx.count_groups(F.col("t"), groups).alias("n")).collect()}
+    for i, text in enumerate(texts):
+        assert found[i].asDict() == {name: sum(n in (text or "") for n in group) for name, group in groups.items()}
+
+
+def test_line_facts_alone_equal_those_of_the_rules(spark):
+    texts = [(None,), ("",), ("Today\n10:41\nAnna: see you at the gate\n10:42\nok then, bye bye\nDelivered",), ("Tax $1.00\nTotal 12,50\n" + "x" * 120,)]
+    frame = spark.createDataFrame(texts, "t string")
+    none = F.array().cast("array<string>")
+    whole = fc.text_cues(F.col("t"), none, lambda get: F.struct(*[get(n).alias(n) for n in fc.LINE_FACTS]))
+    for row in frame.select(whole.alias("whole"), fc.line_cues(F.col("t")).alias("alone")).collect():
+        assert row["whole"].asDict() == row["alone"].asDict()
