@@ -149,6 +149,7 @@ def test_needles_are_counted_in_whole_batches(spark):
     found = {r["id"]: r["n"] for r in frame.select("id", tx.count_groups(F.col("t"), groups).alias("n")).collect()}
     for i, text in enumerate(texts):
         assert found[i].asDict() == {name: sum(n in (text or "") for n in group) for name, group in groups.items()}
+    assert frame.filter("id < 0").select(tx.count_groups(F.col("t"), groups)).collect() == []
 
 
 def test_line_facts_alone_equal_those_of_the_rules(spark):
