@@ -8,7 +8,8 @@ import re
 from pyspark.sql import functions as F
 
 from shelfmark import vocab
-from shelfmark.operators import profiles as pf, understand as un
+from shelfmark.functions import text as tx
+from shelfmark.operators import profiles as pf, resolve as op, understand as un
 
 SEEDS = (("city", "Bonn am", ("bonn",)), ("topic", "Haus", ("haus", "dach")), ("topic", "Home", ("haus",)))
 RULES = (("Haus", "xyz", "Bau Haus", "🏠", 0.9),)
@@ -82,3 +83,12 @@ def test_settling_proposals_does_not_score_twice(spark):
     row = result.first()
     assert [c["title"] for c in row["candidates"]] == ["bau haus"] and row["proposed"] is None
     assert result.select(F.size("entities")).first()[0] == 2
+
+
+def test_titles_are_worked_out_once_each(spark):
+    frame = spark.createDataFrame([("Bau Haus",), ("Bau Haus",), (None,), ("?",)], "title string")
+    keys = op.once_each(frame).select("title", tx.normalize_title(F.col("one")).alias("key")).filter("key <> ''")
+    assert [tuple(r) for r in keys.collect()] == [("Bau Haus", "bau haus")]
+    # A filter on the key stays above the grouping; below it would be worked out for every row.
+    plan = _plan(keys)
+    assert plan.index("key") < plan.index("Aggregate") and "translate" not in plan[plan.index("Aggregate"):]
