@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark import vocab
 from shelfmark.functions import text as tx
+from shelfmark.functions.binding import let
 
 _SEEN = "struct<kept:array<string>,rows:array<struct<identifier:string,confidence:float,reason:string>>>"
 
@@ -13,10 +14,10 @@ _SEEN = "struct<kept:array<string>,rows:array<struct<identifier:string,confidenc
 def label_outcome(
     candidates: Column, low_information=vocab.LOW_INFORMATION_LABELS, floor: float = vocab.LABEL_FLOOR,
     bypass: float = vocab.LABEL_BYPASS, limit: int = vocab.LABEL_LIMIT, raw_limit: int = vocab.RAW_LABEL_LIMIT,
-) -> dict[str, Column]:
-    """``raw``, ``filtered`` and ``dropped`` from an array of ``(identifier, confidence, precision_ok)``.
+) -> Column:
+    """A struct of ``raw``, ``filtered`` and ``dropped`` from an array of ``(identifier, confidence, precision_ok)``.
 
-    Labels are taken by confidence, best first.  One fold over the array decides each label, because
+    Labels are taken by confidence, best first; they are put in order once and judged once.  One fold over the array decides each label, because
     duplicates and the cap depend on the labels kept before it.
     """
     ordered = F.array_sort(
@@ -39,18 +40,22 @@ def label_outcome(
         return F.struct(kept.alias("kept"), F.concat(state["rows"], F.array(row)).alias("rows")).cast(_SEEN)
 
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().alias("rows")).cast(_SEEN)
-    rows = F.aggregate(ordered, start, decide, lambda s: s["rows"])
-    named = F.filter(F.transform(ordered, lambda c: c["identifier"]), lambda n: n != "")
     pair = lambda r: F.struct(r["identifier"].alias("identifier"), r["confidence"].alias("confidence"))
-    best = lambda n: F.element_at(F.filter(ordered, lambda c: c["identifier"] == n), 1)["confidence"]
-    raw = F.transform(F.slice(F.array_distinct(named), 1, raw_limit), lambda n: F.struct(n.alias("identifier"), best(n).alias("confidence")))
-    return {
-        "raw": raw,
-        "filtered": F.transform(F.filter(rows, lambda r: r["reason"] == "kept"), pair),
-        "dropped": F.filter(rows, lambda r: r["reason"] != "kept"),
-    }
+
+    def raw(labels: Column) -> Column:
+        named = F.filter(F.transform(labels, lambda c: c["identifier"]), lambda n: n != "")
+        best = lambda n: F.element_at(F.filter(labels, lambda c: c["identifier"] == n), 1)["confidence"]
+        return F.transform(F.slice(F.array_distinct(named), 1, raw_limit), lambda n: F.struct(n.alias("identifier"), best(n).alias("confidence")))
+
+    def outcome(labels: Column) -> Column:
+        return let(F.aggregate(labels, start, decide, lambda s: s["rows"]), lambda rows: F.struct(
+            raw(labels).alias("raw"), F.transform(F.filter(rows, lambda r: r["reason"] == "kept"), pair).alias("filtered"),
+            F.filter(rows, lambda r: r["reason"] != "kept").alias("dropped")))
+
+    return let(ordered, outcome)
 
 
 def filter_labels(items: DataFrame, candidates: str = "candidates", **settings) -> DataFrame:
     """Add the three outcome columns to rows that carry a candidate array."""
-    return items.withColumns(label_outcome(F.col(candidates), **settings))
+    judged = items.withColumn("_outcome", label_outcome(F.col(candidates), **settings))
+    return judged.select(*items.columns, "_outcome.raw", "_outcome.filtered", "_outcome.dropped")
