@@ -70,3 +70,23 @@ def test_containing_words_match_plain_loop(spark):
     for shortest in (1, 2, 3):
         got = {tuple(r) for r in search.containing_words(frame(words, "word"), frame(tokens, "token"), shortest).collect()}
         assert got == {(w, t) for w in words for t in tokens if len(t) >= shortest and t in w}
+
+
+def test_hits_are_added_up_over_blocks(spark):
+    """Repeated tokens, items and queries, an item without hits, queries with the same id, and none of the pairs of a token as a row."""
+    rng = random.Random(9)
+    tokens = [f"t{i}" for i in range(12)]
+    queries = [(q % 25 if q else None, q, q % 3, [(t, rng.randrange(1, 4), rng.randrange(2)) for t in rng.sample(tokens, rng.randrange(1, 6))]) for q in range(40)]
+    items = [(i % 30, [(t, rng.randrange(1, 500)) for t in rng.sample(tokens[:9], rng.randrange(5))] if i < 30 else [], i >= 30 or i % 4 == 0) for i in range(45)] + [(None, [("t1", 7)], False)]
+    frames = (spark.createDataFrame(queries, "query_id bigint, ask bigint, age_words int, words array<struct<token:string,times:bigint,aged:bigint>>"),
+              spark.createDataFrame(items, "item_id bigint, words array<struct<token:string,points:bigint>>, old boolean"))
+    wanted = set()
+    for query, ask, age, words in queries:
+        for item in {i[0] for i in items}:
+            points = {t: p for i, w, _ in items if i == item for t, p in w}
+            sums = [sum(f(t, n, a) for t, n, a in words if t in points) for f in (lambda t, n, a: n * points[t], lambda t, n, a: n, lambda t, n, a: a)]
+            if sums[1] or (age and any(o for i, _, o in items if i == item)):
+                wanted.add((query, ask, item, *sums))
+    for blocks in ((1, 1), (3, 4)):
+        rows = [tuple(r[c] for c in ("query_id", "ask", "item_id", "points", "hit", "age_hit")) for r in search._summed_hits(*frames, *blocks).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == wanted
