@@ -159,3 +159,13 @@ def test_line_facts_alone_equal_those_of_the_rules(spark):
     whole = fc.text_cues(F.col("t"), none, lambda get: F.struct(*[get(n).alias(n) for n in fc.LINE_FACTS]))
     for row in frame.select(whole.alias("whole"), fc.line_cues(F.col("t")).alias("alone")).collect():
         assert row["whole"].asDict() == row["alone"].asDict()
+
+
+def test_common_needles_are_looked_for_text_by_text(spark):
+    """More hits than ``FEW_HITS`` in a batch: nulls, empty texts, needles that run over into the next text, and letters of several bytes."""
+    texts = [(i, [None, "", "tot", "al x", "total total", "Größe total", "größe"][i % 7]) for i in range(1400)]
+    groups = {"a": ["total", "größe"], "b": ["missing"], "c": ["al"]}
+    frame = spark.createDataFrame(texts, "id int, t string").coalesce(1)
+    got = {r["id"]: r["n"].asDict() for r in frame.select("id", tx.count_groups(F.col("t"), groups).alias("n")).collect()}
+    assert got == {i: {name: sum(n in (t or "") for n in needles) for name, needles in groups.items()} for i, t in texts}
+    assert sum("total" in (t or "") for _, t in texts) > tx.FEW_HITS
